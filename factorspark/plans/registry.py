@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+MODULES = ("queries_cross", "queries_graph", "queries_backtest", "queries_joins", "queries_text")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"factorspark.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    _load()
+    return _QUERIES["x0_peer_momentum_rank_ic"](spark, sf_dir)
