@@ -131,4 +131,4 @@ def decode_ck_column(x: Column) -> Column:
 
 def fee_label(fee: Column) -> Column:
     """Fee in basis points with one decimal."""
-    return F.concat(F.format_number(F.round(fee * 10000, 1), "0.0"), F.lit(" bp"))
+    return F.concat(F.format_string("%.1f", F.round(fee * 10000, 1)), F.lit(" bp"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,34 +27,34 @@ def rs(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
-def simple(name: str, column: Column, sql: str) -> None:
+def simple(name: str, column: Callable[[], Column], sql: str) -> None:
     """A query of one derived column over the valid panel."""
 
     @query(name, f"WITH {fx.FL_SQL} SELECT dt, sym, {rs(sql, 'value')} FROM ok WINDOW wd AS (PARTITION BY dt), ws AS (PARTITION BY sym ORDER BY dt)")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fx.ok(spark, d).select("dt", "sym", r(column, "value"))
-
-
-simple("w15_cs_zscore", xs.zscore("factor", BY), "CASE WHEN coalesce(stddev_samp(factor) OVER wd, 0) > 0 THEN (factor - avg(factor) OVER wd) / stddev_samp(factor) OVER wd ELSE 0 END")
-simple("w16_cs_minmax", xs.minmax("factor", BY), "CASE WHEN max(factor) OVER wd > min(factor) OVER wd THEN (factor - min(factor) OVER wd) / (max(factor) OVER wd - min(factor) OVER wd) * 2 - 1 ELSE 0 END")
-simple("w17_cs_demean", xs.demean("factor", BY), "factor - avg(factor) OVER wd")
-simple("w19_cs_winsorize_std", xs.winsorize_std("factor", BY, 1.5), "CASE WHEN coalesce(stddev_samp(factor) OVER wd, 0) > 0 THEN greatest(least(factor, avg(factor) OVER wd + 1.5 * stddev_samp(factor) OVER wd), avg(factor) OVER wd - 1.5 * stddev_samp(factor) OVER wd) ELSE factor END")
-simple("w38_cs_zscore_population", xs.population_zscore("factor", BY), "CASE WHEN stddev_pop(factor) OVER wd > 1e-12 THEN (factor - avg(factor) OVER wd) / stddev_pop(factor) OVER wd ELSE 0 END")
-simple("w39_gics_demean", xs.demean("factor", ["dt", "sector"]), "factor - avg(factor) OVER (PARTITION BY dt, sector)")
-simple("w21_cs_winsorize_quantile", xs.winsorize_quantile("factor", BY, 0.1), "greatest(least(factor, list_sort(list(factor) OVER wd)[CAST(floor(0.9 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1]), list_sort(list(factor) OVER wd)[CAST(floor(0.1 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1])")
-simple("f5_winsorize_percentile", xs.winsorize_percentile("factor", BY), "greatest(least(factor, quantile_cont(factor, 0.99) OVER wd), quantile_cont(factor, 0.01) OVER wd)")
-simple("w41_own_momentum", ret.lookback_return(2), "close / nullif(lag(close, 2) OVER ws, 0) - 1")
-simple("w35_cumulative_sum", ret.cumulative("label"), "sum(label) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-simple("w9_reference_price", ret.reference_price("label"), "coalesce(product(1 + label) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)")
-simple("w8_lag_after_filter", F.lag("factor", 2).over(ret.by_symbol()), "lag(factor, 2) OVER ws")
-simple("f1_sigmoid_weights", W.sigmoid_weights(F.col("factor"), 10.0, 0.5), "1.0 / (1.0 + exp(-10.0 * (factor - 0.5)))")
-simple("f2_threshold_weights", W.threshold_weights(F.col("factor"), 0.05), "CASE WHEN factor >= 0.05 THEN 1.0 ELSE 0.0 END")
-simple("f3_blend_ranks", W.blend(xs.ordinal_pct("factor", BY, "sym"), xs.ordinal_pct("close", BY, "sym"), 0.3), "0.3 * (row_number() OVER (PARTITION BY dt ORDER BY factor, sym) / CAST(count(*) OVER wd AS DOUBLE)) + 0.7 * (row_number() OVER (PARTITION BY dt ORDER BY close, sym) / CAST(count(*) OVER wd AS DOUBLE))")
-simple("f6_squash_tanh", W.squash(F.col("factor") * 5), "tanh(factor * 5)")
-simple("f6_squash_clip", W.squash(F.col("factor") * 10, "clip"), "greatest(-1.0, least(1.0, factor * 10))")
-simple("f8_guarded_log", F.when(F.col("factor") > 0, F.log("factor")), "CASE WHEN factor > 0 THEN ln(factor) END")
-simple("p11_finite_or_null", W.finite(F.when(F.col("sym") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("factor"))), "CASE WHEN sym % 7 <> 0 THEN factor END")
-simple("p13_weight_not_positive_is_zero", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(0.0)), "CASE WHEN weight > 0 THEN weight ELSE 0 END")
+        return fx.ok(spark, d).select("dt", "sym", r(column(), "value"))
+
+
+simple("w15_cs_zscore", lambda: xs.zscore("factor", BY), "CASE WHEN coalesce(stddev_samp(factor) OVER wd, 0) > 0 THEN (factor - avg(factor) OVER wd) / stddev_samp(factor) OVER wd ELSE 0 END")
+simple("w16_cs_minmax", lambda: xs.minmax("factor", BY), "CASE WHEN max(factor) OVER wd > min(factor) OVER wd THEN (factor - min(factor) OVER wd) / (max(factor) OVER wd - min(factor) OVER wd) * 2 - 1 ELSE 0 END")
+simple("w17_cs_demean", lambda: xs.demean("factor", BY), "factor - avg(factor) OVER wd")
+simple("w19_cs_winsorize_std", lambda: xs.winsorize_std("factor", BY, 1.5), "CASE WHEN coalesce(stddev_samp(factor) OVER wd, 0) > 0 THEN greatest(least(factor, avg(factor) OVER wd + 1.5 * stddev_samp(factor) OVER wd), avg(factor) OVER wd - 1.5 * stddev_samp(factor) OVER wd) ELSE factor END")
+simple("w38_cs_zscore_population", lambda: xs.population_zscore("factor", BY), "CASE WHEN stddev_pop(factor) OVER wd > 1e-12 THEN (factor - avg(factor) OVER wd) / stddev_pop(factor) OVER wd ELSE 0 END")
+simple("w39_gics_demean", lambda: xs.demean("factor", ["dt", "sector"]), "factor - avg(factor) OVER (PARTITION BY dt, sector)")
+simple("w21_cs_winsorize_quantile", lambda: xs.winsorize_quantile("factor", BY, 0.1), "greatest(least(factor, list_sort(list(factor) OVER wd)[CAST(floor(0.9 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1]), list_sort(list(factor) OVER wd)[CAST(floor(0.1 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1])")
+simple("f5_winsorize_percentile", lambda: xs.winsorize_percentile("factor", BY), "greatest(least(factor, quantile_cont(factor, 0.99) OVER wd), quantile_cont(factor, 0.01) OVER wd)")
+simple("w41_own_momentum", lambda: ret.lookback_return(2), "close / nullif(lag(close, 2) OVER ws, 0) - 1")
+simple("w35_cumulative_sum", lambda: ret.cumulative("label"), "sum(label) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+simple("w9_reference_price", lambda: ret.reference_price("label"), "coalesce(product(1 + label) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)")
+simple("w8_lag_after_filter", lambda: F.lag("factor", 2).over(ret.by_symbol()), "lag(factor, 2) OVER ws")
+simple("f1_sigmoid_weights", lambda: W.sigmoid_weights(F.col("factor"), 10.0, 0.5), "1.0 / (1.0 + exp(-10.0 * (factor - 0.5)))")
+simple("f2_threshold_weights", lambda: W.threshold_weights(F.col("factor"), 0.05), "CASE WHEN factor >= 0.05 THEN 1.0 ELSE 0.0 END")
+simple("f3_blend_ranks", lambda: W.blend(xs.ordinal_pct("factor", BY, "sym"), xs.ordinal_pct("close", BY, "sym"), 0.25), "0.25 * (row_number() OVER (PARTITION BY dt ORDER BY factor, sym) / CAST(count(*) OVER wd AS DOUBLE)) + 0.75 * (row_number() OVER (PARTITION BY dt ORDER BY close, sym) / CAST(count(*) OVER wd AS DOUBLE))")
+simple("f6_squash_tanh", lambda: W.squash(F.col("factor") * 5), "tanh(factor * 5)")
+simple("f6_squash_clip", lambda: W.squash(F.col("factor") * 10, "clip"), "greatest(-1.0, least(1.0, factor * 10))")
+simple("f8_guarded_log", lambda: F.when(F.col("factor") > 0, F.log("factor")), "CASE WHEN factor > 0 THEN ln(factor) END")
+simple("p11_finite_or_null", lambda: W.finite(F.when(F.col("sym") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("factor"))), "CASE WHEN sym % 7 <> 0 THEN factor END")
+simple("p13_weight_not_positive_is_zero", lambda: F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(0.0)), "CASE WHEN weight > 0 THEN weight ELSE 0 END")
 
 
 _RANKS = "WITH {fl}, rk AS (SELECT *, rank() OVER (PARTITION BY dt ORDER BY q) + (count(*) OVER (PARTITION BY dt, q) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY dt) AS m FROM (SELECT dt, sym, round(factor, 1) AS q FROM ok))"
@@ -277,9 +279,9 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(r(F.avg("value"), "mean"))
 
 
-@query("a27_grouped_sums", f"WITH {fx.FL_SQL} SELECT dt, {rs('sum(close)', 's1')}, {rs('sum(factor)', 's2')}, {rs('sum(label)', 's3')}, {rs('sum(weight)', 's4')} FROM ok GROUP BY dt")
+@query("a27_grouped_sums", f"WITH {fx.FL_SQL} SELECT dt, {rs('sum(close / 1000000)', 's1')}, {rs('sum(factor)', 's2')}, {rs('sum(label)', 's3')}, {rs('sum(weight)', 's4')} FROM ok GROUP BY dt")
 def a27(spark: SparkSession, d: str) -> DataFrame:
-    return fx.ok(spark, d).groupBy("dt").agg(*[r(F.sum(c), f"s{k}") for k, c in enumerate(("close", "factor", "label", "weight"), 1)])
+    return fx.ok(spark, d).groupBy("dt").agg(*[r(F.sum(c), f"s{k}") for k, c in enumerate((F.col("close") / 1000000, "factor", "label", "weight"), 1)])
 
 
 @query("a30_nan_stats", f"WITH {fx.FL_SQL} SELECT sym, {rs('coalesce(sum(factor), 0)', 'nansum')}, {rs('coalesce(avg(factor), 0)', 'nanmean')}, {rs('coalesce(stddev_pop(factor), 0)', 'nanstd')} FROM fl GROUP BY sym")

@@ -1 +1,327 @@
-"""Queries."""
+"""Queries over similarity edges, relationship graphs and peer factors, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factorspark.functions import weights as W
+from factorspark.functions.shipping import ship
+from factorspark.operators import factor as fa
+from factorspark.operators import graph as gr
+from factorspark.operators import neutralize as nt
+from factorspark.operators import returns as ret
+from factorspark.operators import similarity as sim
+from factorspark.operators import stats
+from factorspark.plans.queries_cross import _CORR, DAILY_SQL, daily, r, rs
+from factorspark.plans.registry import query
+from factorspark.sources import fixtures as fx
+
+_N = "CASE WHEN sqrt(list_dot_product({v}, {v})) = 0 THEN 1 ELSE sqrt(list_dot_product({v}, {v})) END"
+PAIRS_SQL = (
+    fx.CATEGORIES_SQL
+    + ", unit AS (SELECT sym, category, list_transform(CAST(emb AS DOUBLE[]), lambda x: x / ("
+    + _N.format(v="CAST(emb AS DOUBLE[])")
+    + ")) AS e FROM cats), pairs AS (SELECT a.sym AS target, b.sym AS peer, a.category AS category, list_dot_product(a.e, b.e) AS cos FROM unit a JOIN unit b USING (category)), sims AS (SELECT target, peer, sum(cos) / count(*) AS sim FROM pairs GROUP BY 1, 2), pcts AS (SELECT target, peer, sim, row_number() OVER (PARTITION BY target ORDER BY sim, peer) / CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS pct FROM sims), w AS (SELECT target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM pcts)"
+)
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.categories(spark, d)
+    return sim.category_cosine(c, c)
+
+
+def ranks(spark: SparkSession, d: str) -> DataFrame:
+    return sim.pct_rank(sim.weighted_similarity(pairs(spark, d)))
+
+
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    """(target, peer, w) with the softer sigmoid that small universes need."""
+    return ranks(spark, d).select("target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
+
+
+def edge_query(name: str, make, sql: str, value: str = "w") -> None:
+    """A query that gives one value an edge."""
+
+    @query(name, f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {fx.EDGES_SQL}, {PAIRS_SQL}, {STRENGTHS_SQL} {sql}")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return make(spark, d).select("target", "peer", r(value, value))
+
+
+STRENGTHS_SQL = "st AS (SELECT target, peer, ((target * 31 + peer * 17) % 100) / 100.0 AS s FROM w WHERE (target + peer) % 5 = 0), wa AS (SELECT w.target AS target, w.peer AS peer, w.w AS w, CASE WHEN e.target IS NULL THEN 0.0 ELSE 1.0 END AS a, st.s AS s FROM w LEFT JOIN edges e ON e.target = w.target AND e.peer = w.peer LEFT JOIN st ON st.target = w.target AND st.peer = w.peer), fi AS (SELECT *, CASE WHEN s < 0.5 THEN 0.0 ELSE w END AS kept FROM wa), ff AS (SELECT target, peer, s, CASE WHEN sum(kept) OVER (PARTITION BY target) < 1e-9 THEN w ELSE kept END AS w FROM fi)"
+
+
+def strengths(w: DataFrame) -> DataFrame:
+    return w.where("(target + peer) % 5 = 0").select("target", "peer", (((F.col("target") * 31 + F.col("peer") * 17) % 100) / F.lit(100.0)).alias("s"))
+
+
+
+
+edge_query("a8_f4_weighted_similarity", lambda s, d: sim.weighted_similarity(pairs(s, d)), f"SELECT target, peer, {rs('sim', 'sim')} FROM sims", "sim")
+edge_query("a9_complete_similarity", lambda s, d: sim.complete_similarity(pairs(s, d), 4), f"SELECT target, peer, {rs('sum(cos / 4)', 'sim')} FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT category) = 4", "sim")
+edge_query("x3_w6_similarity_ranks", ranks, f"SELECT target, peer, {rs('pct', 'pct')} FROM pcts", "pct")
+edge_query("r1_graph_boost", lambda s, d: gr.boost(weights(s, d), fx.edges(s, d)), f"SELECT target, peer, {rs('w * (1 + 0.2 * a)', 'w')} FROM wa")
+edge_query("r2_graph_mask", lambda s, d: gr.mask(weights(s, d), fx.edges(s, d)), f"SELECT target, peer, {rs('CASE WHEN max(a) OVER (PARTITION BY target) > 0 THEN w * a ELSE w END', 'w')} FROM wa")
+edge_query("r6_strength_filter", lambda s, d: gr.strength_filter(w := weights(s, d), strengths(w), 0.5), f"SELECT target, peer, {rs('w', 'w')} FROM ff")
+edge_query("r7_strength_boost", lambda s, d: gr.strength_boost(w := weights(s, d), strengths(w), 0.3), f"SELECT target, peer, {rs('w * (1 + 0.3 * coalesce(s, 0))', 'w')} FROM wa")
+edge_query("r8_confirmed_boost", lambda s, d: gr.confirmed_boost(w := weights(s, d), strengths(w), 0.6, 0.3), f"SELECT target, peer, {rs('w * CASE WHEN s >= 0.6 THEN 1.3 ELSE 1.0 END', 'w')} FROM wa")
+edge_query("r9_filter_and_boost", lambda s, d: gr.filter_and_boost(w := weights(s, d), strengths(w), 0.5, 0.3), f"SELECT target, peer, {rs('w * (1 + 0.3 * coalesce(s, 0))', 'w')} FROM ff")
+edge_query("j11_r13_self_mask_after_rank", lambda s, d: ranks(s, d).where("target <> peer"), f"SELECT target, peer, {rs('pct', 'pct')} FROM pcts WHERE target <> peer", "pct")
+edge_query("j19_sparse_edge_lookup", lambda s, d: gr.attach(weights(s, d), fx.edges(s, d)), f"SELECT target, peer, {rs('a', 'a')} FROM wa", "a")
+
+
+@query("r3_multi_attested", f"WITH {fx.EDGES_SQL}, c AS (SELECT l_suppkey AS target, l_partkey % (SELECT count(*) FROM supplier) + 1 AS peer FROM lineitem WHERE l_partkey % 200 = 3) SELECT DISTINCT target, peer FROM (SELECT *, count(*) OVER (PARTITION BY target) AS n FROM c) WHERE n >= 2")
+def r3(spark: SparkSession, d: str) -> DataFrame:
+    n = fx.table(spark, d, "supplier").agg(F.count("*").alias("n"))
+    rows = fx.table(spark, d, "lineitem").where("l_partkey % 200 = 3").crossJoin(F.broadcast(n))  # one row
+    return gr.attested(rows.select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % F.col("n") + 1).alias("peer")))
+
+
+@query("r4_random_graph")
+def r4(spark: SparkSession, d: str) -> DataFrame:
+    return gr.random_graph(weights(spark, d), fx.edges(spark, d), 1)
+
+
+@query("r5_permuted_peers")
+def r5(spark: SparkSession, d: str) -> DataFrame:
+    return gr.permuted_peers(weights(spark, d), 1).select("target", "peer", r("w", "w"))
+
+
+
+
+@query("r10_agentic_linkage", "WITH lk AS (SELECT l_suppkey AS target, l_partkey % 50 AS peer, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS linkage_type, l_orderkey * 10 + l_linenumber AS pos, CAST(l_quantity AS DOUBLE) AS s FROM lineitem) SELECT target, peer, arg_max(s, pos) AS s FROM lk WHERE linkage_type <> '' GROUP BY 1, 2")
+def r10(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 3 == 0, F.lit("")).otherwise(F.col("l_returnflag"))
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % 50).alias("peer"), kind.alias("linkage_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("double").alias("s"))
+    return gr.linkage(rows)
+
+
+@query("r11_undirected_graph", f"WITH {fx.EDGES_SQL} SELECT target, peer FROM edges UNION SELECT peer, target FROM edges")
+def r11(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.edges(spark, d)
+    return gr.undirected(e.where("target % 2 = 0"), e.where("target % 2 = 1"))
+
+
+# ---- peer factors ----------------------------------------------------------------------------------
+
+REL_SQL = "rel AS (SELECT dt, p.sym AS sym, x - avg(x) OVER (PARTITION BY dt, sector) AS ret FROM (SELECT dt, sym, close / nullif(lag(close, 3) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS x FROM panel) p JOIN symbols USING (sym)), lab AS (SELECT dt, sym, lead(close) OVER (PARTITION BY sym ORDER BY dt) / nullif(close, 0) - 1 AS label FROM panel)"
+PF_SQL = "ws AS (SELECT * FROM w WHERE target <> peer), pf AS (SELECT dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM ws JOIN rel ON rel.sym = ws.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1)"
+CORE_SQL = f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, {PF_SQL}"
+
+
+def relative(spark: SparkSession, d: str) -> DataFrame:
+    """Sector-relative three-month returns (dt, sym, ret)."""
+    x = fx.panel(spark, d).withColumn("x", ret.lookback_return(3)).join(fx.symbols(spark, d), "sym")
+    return x.select("dt", "sym", ret.sector_relative("x").alias("ret"))
+
+
+def momentum(spark: SparkSession, d: str, gate: float = 1.0) -> DataFrame:
+    return fa.peer_factor(weights(spark, d).where("target <> peer"), relative(spark, d), gate)
+
+
+@query("a11_peer_momentum", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL} SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM w JOIN rel ON rel.sym = w.peer WHERE ret IS NOT NULL AND w.target <> w.peer GROUP BY 1, 2 HAVING sum(w) > 0")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    return momentum(spark, d, 0.0).select("dt", "sym", r("factor", "factor"))
+
+
+@query("a12_build_factor_gated", CORE_SQL + f" SELECT dt, sym, {rs('factor', 'factor')} FROM pf")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    return momentum(spark, d).select("dt", "sym", r("factor", "factor"))
+
+
+@query("x0_peer_momentum_rank_ic", CORE_SQL + f", j AS (SELECT pf.dt AS dt, factor, label FROM pf JOIN lab ON lab.dt = pf.dt AND lab.sym = pf.sym WHERE label IS NOT NULL), k AS (SELECT dt, rank() OVER (PARTITION BY dt ORDER BY factor) + (count(*) OVER (PARTITION BY dt, factor) - 1) / 2.0 AS x, rank() OVER (PARTITION BY dt ORDER BY label) + (count(*) OVER (PARTITION BY dt, label) - 1) / 2.0 AS y FROM j) SELECT dt, count(*) AS n, {rs(_CORR.format(x='x', y='y'), 'rank_ic')} FROM k GROUP BY dt")
+def x0(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: embeddings to ranks to weights to peer momentum to monthly rank IC."""
+    labels = fx.panel(spark, d).select("dt", "sym", ret.forward_return().alias("label")).where("label IS NOT NULL")
+    joined = momentum(spark, d).join(labels, ["dt", "sym"])
+    n = joined.groupBy("dt").agg(F.count("*").alias("n"))
+    return n.join(stats.rank_ic(joined, "factor", "label", ["dt"]), "dt").select("dt", "n", r("rank_ic", "rank_ic"))
+
+
+_DRET = "dret AS (SELECT dt, sym, close / nullif(lag(close) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS ret FROM daily)"
+
+
+@query("a13_daily_factor", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET} SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM w JOIN dret ON dret.sym = w.peer WHERE ret IS NOT NULL AND target % 10 = 0 GROUP BY 1, 2 HAVING sum(w) > 1")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    """Factor of a stated sub-universe: every tenth symbol is a target, all are peers."""
+    dret = daily(spark, d).select("dt", "sym", ret.lookback_return(1).alias("ret"))
+    return fa.peer_factor(weights(spark, d).where("target % 10 = 0"), dret).select("dt", "sym", r("factor", "factor"))
+
+
+@query("a14_similarity_pooling", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, u AS (SELECT target, peer, sim, region AS source FROM sims JOIN symbols ON symbols.sym = sims.peer), q AS (SELECT target, peer, row_number() OVER (PARTITION BY target ORDER BY sim, peer) / CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS pct FROM u WHERE source IN (0, 1, 2)), v AS (SELECT target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM q WHERE target <> peer) SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM v JOIN rel ON rel.sym = v.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1")
+def a14(spark: SparkSession, d: str) -> DataFrame:
+    edges = sim.weighted_similarity(pairs(spark, d)).join(fx.symbols(spark, d).select(F.col("sym").alias("peer"), F.col("region").alias("source")), "peer")
+    parts = [edges.where(F.col("source") == k) for k in (0, 1, 2)]
+    pooled = sim.pct_rank(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    w = pooled.where("target <> peer").select("target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
+    return fa.peer_factor(w, relative(spark, d)).select("dt", "sym", r("factor", "factor"))
+
+
+def region_factor(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Mean relative return of a region's symbols, given to every symbol of the date."""
+    rel = relative(spark, d).join(fx.symbols(spark, d).select("sym", "region"), "sym")
+    mean = rel.where(F.col("region") == k).groupBy("dt").agg(F.avg("ret").alias("m"))
+    return rel.join(mean, "dt").select("dt", "sym", (F.col("m") + F.col("ret")).alias("factor"))
+
+
+_RF = "rf AS (SELECT r.dt AS dt, r.sym AS sym, m.region AS k, m.m + r.ret AS factor FROM rel r JOIN (SELECT dt, region, avg(ret) AS m FROM rel JOIN symbols USING (sym) GROUP BY 1, 2) m ON m.dt = r.dt WHERE m.region IN (0, 1))"
+
+
+@query("a15_u1_factor_pooling", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {REL_SQL}, {_RF} SELECT dt, sym, {rs('avg(factor)', 'factor')} FROM rf GROUP BY 1, 2")
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    return fa.pool(region_factor(spark, d, 0), region_factor(spark, d, 1)).select("dt", "sym", r("factor", "factor"))
+
+
+@query("a16_composite", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, l AS (SELECT dt, sym, 1 AS k, close / nullif(lag(close, 1) OVER s, 0) - 1 AS f FROM panel WINDOW s AS (PARTITION BY sym ORDER BY dt) UNION ALL SELECT dt, sym, 2, close / nullif(lag(close, 3) OVER s, 0) - 1 FROM panel WINDOW s AS (PARTITION BY sym ORDER BY dt)), z AS (SELECT dt, sym, (f - avg(f) OVER (PARTITION BY dt, k)) / nullif(stddev_samp(f) OVER (PARTITION BY dt, k), 0) AS z FROM l) SELECT dt, sym, {rs('avg(z)', 'factor')} FROM z WHERE z IS NOT NULL GROUP BY 1, 2")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.panel(spark, d)
+    return fa.composite(*[p.select("dt", "sym", ret.lookback_return(n).alias("factor")) for n in (1, 3)]).select("dt", "sym", r("factor", "factor"))
+
+
+@query("p9_every_nth_date", f"WITH {fx.PANEL_SQL} SELECT dt, sym FROM (SELECT dt, sym, dense_rank() OVER (ORDER BY dt) - 1 AS k FROM panel) WHERE k % 3 = 0")
+def p9(spark: SparkSession, d: str) -> DataFrame:
+    return fa.every_nth_date(fx.panel(spark, d).select("dt", "sym"), 3)
+
+
+_MRET = "mret AS (SELECT dt, sym, ret FROM (SELECT dt, sym, close / nullif(lag(close) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS ret FROM panel) WHERE ret IS NOT NULL)"
+_PAIR_CORR = "CASE WHEN count(*) >= {m} THEN CASE WHEN stddev_pop(a.ret) > 1e-14 AND stddev_pop(b.ret) > 1e-14 THEN covar_pop(a.ret, b.ret) / (stddev_pop(a.ret) * stddev_pop(b.ret)) ELSE 0 END END"
+
+
+def monthly_returns(spark: SparkSession, d: str) -> DataFrame:
+    return fx.panel(spark, d).select("dt", "sym", ret.lookback_return(1).alias("ret")).where("ret IS NOT NULL")
+
+
+@query("a17_correlation_edges", f"WITH {fx.PANEL_SQL}, {_MRET} SELECT a.sym AS target, b.sym AS peer, {rs(_PAIR_CORR.format(m=24), 'corr')}, count(*) AS n FROM mret a JOIN mret b ON a.dt = b.dt GROUP BY 1, 2")
+def a17(spark: SparkSession, d: str) -> DataFrame:
+    return sim.correlation_edges(monthly_returns(spark, d), 24).select("target", "peer", r("corr", "corr"), "n")
+
+
+@query("a18_j13_t3_recent_correlation", f"WITH {fx.PANEL_SQL}, {_MRET}, t AS (SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY dt DESC) AS k FROM mret) WHERE k <= 36) SELECT a.sym AS target, b.sym AS peer, {rs(_PAIR_CORR.format(m=12), 'corr')}, count(*) AS n FROM t a JOIN t b ON a.dt = b.dt GROUP BY 1, 2")
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    rows = monthly_returns(spark, d)
+    recent = rows.select("dt").distinct().orderBy(F.desc("dt")).limit(36)
+    return sim.correlation_edges(rows.join(recent, "dt", "left_semi"), 12).select("target", "peer", r("corr", "corr"), "n")
+
+
+@query("a19_j21_monthly_correlation_weights", f"WITH {fx.PANEL_SQL}, {_MRET}, m AS (SELECT dt, coalesce(lag(dt) OVER (ORDER BY dt), dt) AS upto FROM (SELECT DISTINCT dt FROM panel) WHERE year(dt) = 2000), s AS (SELECT m.dt AS month, sym, mret.dt AS dt, ret FROM m JOIN mret ON mret.dt <= m.upto AND sym <= 20) SELECT a.month AS month, a.sym AS target, b.sym AS peer, {rs(_PAIR_CORR.format(m=12), 'corr')}, count(*) AS n FROM s a JOIN s b ON a.month = b.month AND a.dt = b.dt GROUP BY 1, 2, 3")
+def a19(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of each month of one year from data up to the month before, in a stated universe of 20 symbols."""
+    rows = monthly_returns(spark, d)
+    months = fx.panel(spark, d).select("dt").distinct().where("year(dt) = 2000")
+    months = months.select(F.col("dt").alias("month"), F.coalesce(F.lag("dt").over(Window.orderBy("dt")), F.col("dt")).alias("upto"))
+    stamped = rows.where("sym <= 20").join(F.broadcast(months), F.col("dt") <= F.col("upto")).select("month", "dt", "sym", "ret")  # twelve months
+    return sim.correlation_edges(stamped, 12, by=("month",)).select("month", "target", "peer", r("corr", "corr"), "n")
+
+
+@query("j12_u4_blend_embedding_correlation", f"WITH {fx.PANEL_SQL}, {_MRET}, {PAIRS_SQL}, c AS (SELECT a.sym AS target, b.sym AS peer, {_PAIR_CORR.format(m=24)} AS corr FROM mret a JOIN mret b ON a.dt = b.dt GROUP BY 1, 2), cp AS (SELECT target, peer, row_number() OVER (PARTITION BY target ORDER BY round(corr, 9), peer) / CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS cpct FROM c WHERE corr IS NOT NULL) SELECT p.target AS target, p.peer AS peer, {rs('0.5 * pct + 0.5 * cpct', 'pct')} FROM pcts p JOIN cp ON cp.target = p.target AND cp.peer = p.peer")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    c = sim.correlation_edges(monthly_returns(spark, d), 24).where("corr IS NOT NULL").withColumn("corr", F.round("corr", 9))
+    c = sim.pct_rank(c, "corr").select("target", "peer", F.col("pct").alias("cpct"))
+    return ranks(spark, d).join(c, ["target", "peer"]).select("target", "peer", r(W.blend(F.col("pct"), F.col("cpct"), 0.5), "pct"))
+
+
+@query("a10_mean_embedding", f"WITH {fx.CATEGORIES_SQL}, f AS (SELECT sym, unnest(range(16)) AS pos, unnest(emb) AS x FROM cats) SELECT sym, pos, {rs('avg(CAST(x AS DOUBLE))', 'x')} FROM f GROUP BY 1, 2")
+def a10(spark: SparkSession, d: str) -> DataFrame:
+    got = sim.mean_embedding(fx.categories(spark, d))
+    return got.select("sym", F.posexplode("emb").alias("pos", "v")).select("sym", F.col("pos").cast("long").alias("pos"), r("v", "x"))
+
+
+@query("t1_vector_search", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) + 0.0 AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")
+def t1(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "embeddings")
+    q = e.where("vec_id = 7").select("embedding").first()[0]
+    return sim.search(e, list(q), 10).select("vec_id", r("score", "score"))
+
+
+_NN = "nn AS (SELECT * FROM (SELECT target, peer, sim, row_number() OVER (PARTITION BY target ORDER BY sim DESC, peer) AS place FROM sims WHERE target <> peer) WHERE place <= 5)"
+
+
+@query("t2_top_k_neighbours", f"WITH {PAIRS_SQL}, {_NN} SELECT target, peer, {rs('sim', 'sim')}, place FROM nn")
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    return sim.top_neighbours(sim.weighted_similarity(pairs(spark, d)), 5).select("target", "peer", r("sim", "sim"), "place")
+
+
+@query("j16_w40_neighbour_demean", f"WITH {fx.FL_SQL}, {PAIRS_SQL}, {_NN}, m AS (SELECT dt, target, sum(sim * factor) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS m FROM nn JOIN ok ON ok.sym = nn.peer GROUP BY 1, 2) SELECT ok.dt AS dt, ok.sym AS sym, {rs('factor - coalesce(m, 0)', 'residual')} FROM ok LEFT JOIN m ON m.dt = ok.dt AND m.target = ok.sym")
+def j16(spark: SparkSession, d: str) -> DataFrame:
+    nn = sim.top_neighbours(sim.weighted_similarity(pairs(spark, d)), 5).select("target", "peer", "sim")
+    return nt.neighbour_demean(fx.ok(spark, d), nn, "factor").select("dt", "sym", r("residual", "residual"))
+
+
+@query("j17_sector_baseline", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {REL_SQL}, m AS (SELECT dt, sector, avg(label) AS m FROM lab JOIN symbols USING (sym) WHERE region = 1 AND label IS NOT NULL GROUP BY 1, 2) SELECT m.dt AS dt, symbols.sym AS sym, {rs('m', 'factor')} FROM m JOIN symbols ON symbols.sector = m.sector WHERE region <> 1")
+def j17(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.symbols(spark, d)
+    lab = fx.panel(spark, d).select("dt", "sym", ret.forward_return().alias("label")).where("label IS NOT NULL").join(s, "sym")
+    mean = lab.where("region = 1").groupBy("dt", "sector").agg(F.avg("label").alias("m"))
+    return mean.join(s.where("region <> 1").select("sym", "sector"), "sector").select("dt", "sym", r("m", "factor"))
+
+
+@query("j20_month_keyed_weights", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET}, mw AS (SELECT DISTINCT strftime(dt, '%Y-%m') AS month, month(dt) AS m FROM daily) SELECT dt, target AS sym, {rs('sum(w * m * ret) / sum(w * m)', 'factor')} FROM w, mw JOIN dret ON strftime(dret.dt, '%Y-%m') = mw.month WHERE dret.sym = w.peer AND ret IS NOT NULL AND target % 20 = 0 GROUP BY 1, 2 HAVING sum(w * m) > 1")
+def j20(spark: SparkSession, d: str) -> DataFrame:
+    """Weights that differ by calendar month, for a stated sub-universe of targets."""
+    p = daily(spark, d)
+    months = p.select(F.date_format("dt", "yyyy-MM").alias("month"), F.month("dt").alias("m")).distinct()
+    w = weights(spark, d).where("target % 20 = 0").crossJoin(F.broadcast(months)).select("month", "target", "peer", (F.col("w") * F.col("m")).alias("w"))  # one row a calendar month
+    return fa.monthly_weighted_factor(w, p.select("dt", "sym", ret.lookback_return(1).alias("ret"))).select("dt", "sym", r("factor", "factor"))
+
+
+@query("a48_a49_whitening_covariance")
+def a48(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    z = sim.whiten(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("sym"), F.col("embedding").alias("emb")), 8)
+    return sim.covariance(z).select("i", "j", r("cov", "cov"))
+
+
+@query("a50_placebo_statistics", f"WITH {fx.FL_SQL}, c AS (SELECT dt, {_CORR.format(x='factor', y='label')} AS ic FROM ok GROUP BY dt), k AS (SELECT month(dt) AS trial, avg(ic) AS v FROM c GROUP BY 1) SELECT {rs('avg(v)', 'mean')}, {rs('stddev_pop(v)', 'sd')}, {rs('(max(v) - avg(v)) / nullif(stddev_pop(v), 0)', 'z_best')} FROM k")
+def a50(spark: SparkSession, d: str) -> DataFrame:
+    c = stats.ic(fx.ok(spark, d), "factor", "label", ["dt"]).groupBy(F.month("dt").alias("trial")).agg(F.avg("ic").alias("v"))
+    return c.agg(r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "sd"), r(F.try_divide(F.max("v") - F.avg("v"), F.stddev_pop("v")), "z_best"))
+
+
+@query("r12_sub_universe", f"WITH {fx.FL_SQL} SELECT dt, {rs(_CORR.format(x='factor', y='label'), 'ic')} FROM ok WHERE sym IN (SELECT sym FROM symbols WHERE region = 2) GROUP BY dt")
+def r12(spark: SparkSession, d: str) -> DataFrame:
+    universe = fx.symbols(spark, d).where("region = 2").select("sym")
+    return stats.ic(fx.ok(spark, d).join(universe, "sym", "left_semi"), "factor", "label", ["dt"]).select("dt", r("ic", "ic"))
+
+
+_CELLS = "cells AS (SELECT t.region AS target_region, s.region AS source_region, w.target AS target, w.peer AS peer, w FROM w JOIN symbols t ON t.sym = w.target JOIN symbols s ON s.sym = w.peer WHERE w.target <> w.peer), cf AS (SELECT target_region, source_region, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM cells JOIN rel ON rel.sym = cells.peer WHERE ret IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING sum(w) > 0)"
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """Factor of every target and source market pair, in one plan."""
+    s = fx.symbols(spark, d)
+    w = weights(spark, d).where("target <> peer").join(s.select(F.col("sym").alias("target"), F.col("region").alias("target_region")), "target").join(s.select(F.col("sym").alias("peer"), F.col("region").alias("source_region")), "peer")
+    rel = relative(spark, d).where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), "ret")
+    got = w.join(rel, "peer").groupBy("target_region", "source_region", "dt", F.col("target").alias("sym")).agg(F.sum(F.col("w") * F.col("ret")).alias("n"), F.sum("w").alias("w")).where("w > 0")
+    return got.select("target_region", "source_region", "dt", "sym", (F.col("n") / F.col("w")).alias("factor"))
+
+
+_CELL_IC = f"ci AS (SELECT target_region, source_region, cf.dt AS dt, {_CORR.format(x='factor', y='label')} AS ic FROM cf JOIN lab ON lab.dt = cf.dt AND lab.sym = cf.sym WHERE label IS NOT NULL GROUP BY 1, 2, 3), cs AS (SELECT target_region, source_region, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(12) AS icir FROM ci GROUP BY 1, 2)"
+
+
+def cell_icir(spark: SparkSession, d: str) -> DataFrame:
+    lab = fx.panel(spark, d).select("dt", "sym", ret.forward_return().alias("label")).where("label IS NOT NULL")
+    c = stats.ic(cells(spark, d).join(lab, ["dt", "sym"]), "factor", "label", ["target_region", "source_region", "dt"])
+    return c.groupBy("target_region", "source_region").agg((F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.lit(12.0))).alias("icir"))
+
+
+@query("x7_market_matrix", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, {_CELLS}, {_CELL_IC} SELECT target_region, source_region, {rs('icir', 'icir')} FROM cs")
+def x7(spark: SparkSession, d: str) -> DataFrame:
+    return cell_icir(spark, d).select("target_region", "source_region", r("icir", "icir"))
+
+
+@query("j22_t6_best_sources", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, {_CELLS}, {_CELL_IC} SELECT target_region, source_region, place FROM (SELECT *, row_number() OVER (PARTITION BY target_region ORDER BY icir DESC NULLS LAST, source_region) AS place FROM cs) WHERE place <= 2")
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("target_region").orderBy(F.desc_nulls_last("icir"), "source_region"))
+    return cell_icir(spark, d).withColumn("place", place).where("place <= 2").select("target_region", "source_region", "place")
+
+
+@query("x9_category_ablation", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, cp AS (SELECT category, target, peer, row_number() OVER (PARTITION BY category, target ORDER BY cos, peer) / CAST(count(*) OVER (PARTITION BY category, target) AS DOUBLE) AS pct FROM pairs), cw AS (SELECT category, target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM cp WHERE target <> peer), f AS (SELECT category, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM cw JOIN rel ON rel.sym = cw.peer WHERE ret IS NOT NULL GROUP BY 1, 2, 3), c AS (SELECT category, f.dt AS dt, {_CORR.format(x='factor', y='label')} AS ic FROM f JOIN lab ON lab.dt = f.dt AND lab.sym = f.sym WHERE label IS NOT NULL GROUP BY 1, 2) SELECT category, {rs('avg(ic)', 'mean_ic')} FROM c GROUP BY 1")
+def x9(spark: SparkSession, d: str) -> DataFrame:
+    from factorspark.operators.xsection import ordinal_pct
+
+    w = pairs(spark, d).withColumn("pct", ordinal_pct("cos", ["category", "target"], "peer")).where("target <> peer")
+    w = w.select("category", "target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
+    rel = relative(spark, d).where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), "ret")
+    f = w.join(rel, "peer").groupBy("category", "dt", F.col("target").alias("sym")).agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("factor"))
+    lab = fx.panel(spark, d).select("dt", "sym", ret.forward_return().alias("label")).where("label IS NOT NULL")
+    return stats.ic(f.join(lab, ["dt", "sym"]), "factor", "label", ["category", "dt"]).groupBy("category").agg(r(F.avg("ic"), "mean_ic"))
