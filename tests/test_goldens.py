@@ -182,3 +182,13 @@ def test_queries_agree_with_sql(spark):
         want = sorted(repr([clean(v) for v in row]) for row in found.fetchall())
         got = sorted(repr([clean(r[c]) for c in cols]) for r in queries[name](spark, D).collect())
         assert got == want, name
+
+
+def test_report_page(spark):
+    from factorspark.plans.report import formatted, render
+
+    summary = spark.createDataFrame([("2.0 bp", "ls", 0.1234, None)], "cost string, side string, ret_annual double, ret_sharpe double")
+    series = spark.createDataFrame([("cum", k, float(k)) for k in range(3)], "name string, dt int, value double")
+    page = render(summary, series, "A & B")
+    assert "12.34%" in page and "n/a" in page and "<polyline" in page and "A &amp; B" in page
+    assert formatted(3.0, "integer") == "3" and formatted(0.5, "ratio") == "0.500"
