@@ -6,6 +6,12 @@ fields prune columns.
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +91,19 @@ def symbol_sectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edinet_codes(spark: SparkSession, path: str) -> DataFrame:
-    """Listed filers of an EDINET code list: cp932, one title row above the header, five-digit codes."""
-    lines = spark.read.option("encoding", "cp932").option("header", False).csv(path)
-    names = ["edinet_code", "kind", "listed", "consolidated", "capital", "closing", "name", "name_en", "kana", "address", "industry", "code", "corporate_number"]
-    df = lines.toDF(*[names[k] if k < len(names) else f"c{k}" for k in range(len(lines.columns))])
-    return df.where(F.col("code").rlike("^[0-9]{5}$") & F.col("listed").isin("上場", "Listed company", "Listed")).select(F.concat(F.substring("code", 1, 4), F.lit(".T")).alias("symbol"), "edinet_code", "name")
+    """(symbol, edinet_code, name) of listed filers with five-digit codes in EDINET code lists.
+
+    The lists are cp932, which Spark's readers do not take, with a title row above the header; each file
+    is small and is decoded whole in one task.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for content in batch.column(0).to_pylist() for r in list(csv.reader(io.StringIO(content.decode("cp932"))))[2:]]
+            found = [(f"{r[11][:4]}.T", r[0], r[6]) for r in rows if len(r) > 11 and re.fullmatch("[0-9]{5}", r[11]) and r[2] in ("上場", "Listed company", "Listed")]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(3)], ["symbol", "edinet_code", "name"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, "symbol string, edinet_code string, name string")
 
 
 def twse_codes(spark: SparkSession, path: str) -> DataFrame:
