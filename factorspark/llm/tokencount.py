@@ -141,4 +141,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order, root = write_flat(docs, None, id_col, text_col, vocabulary)
     found = scan_flat(order.where("bytes IS NOT NULL").select("path", "bytes"), root, block=block)
     ids = order.where("ordinal IS NOT NULL").select("path", "ordinal", "doc_id")
-    return ids.join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # the stored order is small as a file and large as rows, so the planner's size estimate must not broadcast it
+    return ids.hint("merge").join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")
