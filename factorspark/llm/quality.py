@@ -36,6 +36,8 @@ GRAM = 4
 SCALE = 40.0
 STEPS = 80
 L2 = 1e-6
+ROWS = 1500
+BYTES = 4 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -197,7 +199,7 @@ def fit(samples: list[tuple[str, int]], steps: int = STEPS, l2: float = L2) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds) -> Model:
-    return fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, **bounds)])
+    return fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, **({"rows": ROWS, "size": BYTES} | bounds))])
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
