@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(path))
     _SHIPPED.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/factorspark/{what}-{uuid.uuid4().hex}"

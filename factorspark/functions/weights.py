@@ -41,7 +41,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its norm, as doubles; a zero vector stays zero."""
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x.cast("double") / n)  # the norm is taken once, not per element
 
 
 def cosine(a: Column, b: Column) -> Column:

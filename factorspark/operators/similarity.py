@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,62 @@ from factorspark.functions import weights as W
 from factorspark.operators.xsection import ordinal_pct
 
 
-def category_cosine(targets: DataFrame, peers: DataFrame) -> DataFrame:
+BLOCKS = 8
+
+
+def category_cosine(targets: DataFrame, peers: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(target, peer, category, cos) of embeddings (sym, category, emb), joined within the category.
 
-    Vectors are scaled to unit length once a side, so a pair costs one dot product.
+    Vectors are scaled to unit length once a side, so a pair costs one dot product. There are few
+    categories, so peers are dealt into blocks and targets are repeated for each: the join has
+    categories x blocks keys to spread over tasks.
+    """
+    a = targets.select(F.col("sym").alias("target"), "category", W.unit(F.col("emb")).alias("__a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__k"))
+    b = peers.select(F.col("sym").alias("peer"), "category", W.unit(F.col("emb")).alias("__b"), F.pmod(F.hash("sym"), F.lit(blocks)).alias("__k"))
+    return a.join(b, ["category", "__k"]).select("target", "peer", "category", W.dot(F.col("__a"), F.col("__b")).alias("cos"))
+
+
+def block_similarity(targets: DataFrame, peers: DataFrame, category_weights: dict[int, float] | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """(target, peer, sim): ``weighted_similarity`` of ``category_cosine``, as matrix products in Arrow.
+
+    Targets and peers are dealt into blocks; each pair of blocks is one task that holds two blocks of
+    vectors and multiplies them category by category, so pairs leave it already averaged and no row a
+    category is ever shuffled.
     """
-    a = targets.select(F.col("sym").alias("target"), "category", W.unit(F.col("emb")).alias("__a"))
-    b = peers.select(F.col("sym").alias("peer"), "category", W.unit(F.col("emb")).alias("__b"))
-    return a.join(b, "category").select("target", "peer", "category", W.dot(F.col("__a"), F.col("__b")).alias("cos"))
+    kind = targets.schema["sym"].dataType.simpleString()
+    block = lambda: F.pmod(F.hash("sym"), F.lit(blocks))
+    all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = targets.select("sym", "category", "emb", block().alias("i")).withColumn("j", all_)
+    b = peers.select(F.col("sym").alias("peer"), F.col("category").alias("peer_category"), F.col("emb").alias("peer_emb"), block().alias("peer_j")).withColumn("peer_i", all_)
+
+    def sides(t: pa.Table) -> tuple[list, dict]:
+        t = t.select([0, 1, 2]).rename_columns(["sym", "category", "emb"])
+        syms = sorted(set(t["sym"].to_pylist()))
+        place = {s: k for k, s in enumerate(syms)}
+        by: dict = {}
+        for s, c, e in zip(t["sym"].to_pylist(), t["category"].to_pylist(), t["emb"], strict=True):
+            rows, vectors = by.setdefault(c, ([], []))
+            v = np.asarray(e.values, float)
+            rows.append(place[s])
+            vectors.append(v / (np.sqrt(v @ v) or 1.0))
+        return syms, {c: (np.array(r), np.stack(v)) for c, (r, v) in by.items()}
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ts, x), (ps, y) = sides(left), sides(right)
+        total, weight = np.zeros((len(ts), len(ps))), np.zeros((len(ts), len(ps)))
+        for c in sorted(x.keys() & y.keys()):
+            w = 1.0 if category_weights is None else category_weights.get(c, 0.0)
+            at = np.ix_(x[c][0], y[c][0])
+            total[at] += w * (x[c][1] @ y[c][1].T)
+            weight[at] += w
+        met = np.zeros(total.shape, bool)
+        for c in x.keys() & y.keys():
+            met[np.ix_(x[c][0], y[c][0])] = True
+        i, j = np.nonzero(met)
+        sim = np.divide(total[i, j], weight[i, j], out=np.zeros(len(i)), where=weight[i, j] > 0)
+        return pa.table({"target": pa.array(ts, left["sym"].type).take(pa.array(i)), "peer": pa.array(ps, right["peer"].type).take(pa.array(j)), "sim": sim})
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("peer_i", "peer_j")).applyInArrow(multiply, f"target {kind}, peer {kind}, sim double")
 
 
 def weighted_similarity(pairs: DataFrame, category_weights: dict[int, float] | None = None) -> DataFrame:

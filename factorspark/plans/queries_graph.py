@@ -31,8 +31,15 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return sim.category_cosine(c, c)
 
 
+def similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted similarity by matrix products."""
+    ship(spark)
+    c = fx.categories(spark, d)
+    return sim.block_similarity(c, c)
+
+
 def ranks(spark: SparkSession, d: str) -> DataFrame:
-    return sim.pct_rank(sim.weighted_similarity(pairs(spark, d)))
+    return sim.pct_rank(similarity(spark, d))
 
 
 def weights(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +157,7 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a14_similarity_pooling", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, u AS (SELECT target, peer, sim, region AS source FROM sims JOIN symbols ON symbols.sym = sims.peer), q AS (SELECT target, peer, row_number() OVER (PARTITION BY target ORDER BY sim, peer) / CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS pct FROM u WHERE source IN (0, 1, 2)), v AS (SELECT target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM q WHERE target <> peer) SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM v JOIN rel ON rel.sym = v.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    edges = sim.weighted_similarity(pairs(spark, d)).join(fx.symbols(spark, d).select(F.col("sym").alias("peer"), F.col("region").alias("source")), "peer")
+    edges = similarity(spark, d).join(fx.symbols(spark, d).select(F.col("sym").alias("peer"), F.col("region").alias("source")), "peer")
     parts = [edges.where(F.col("source") == k) for k in (0, 1, 2)]
     pooled = sim.pct_rank(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     w = pooled.where("target <> peer").select("target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
@@ -238,12 +245,12 @@ _NN = "nn AS (SELECT * FROM (SELECT target, peer, sim, row_number() OVER (PARTIT
 
 @query("t2_top_k_neighbours", f"WITH {PAIRS_SQL}, {_NN} SELECT target, peer, {rs('sim', 'sim')}, place FROM nn")
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    return sim.top_neighbours(sim.weighted_similarity(pairs(spark, d)), 5).select("target", "peer", r("sim", "sim"), "place")
+    return sim.top_neighbours(similarity(spark, d), 5).select("target", "peer", r("sim", "sim"), "place")
 
 
 @query("j16_w40_neighbour_demean", f"WITH {fx.FL_SQL}, {PAIRS_SQL}, {_NN}, m AS (SELECT dt, target, sum(sim * factor) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS m FROM nn JOIN ok ON ok.sym = nn.peer GROUP BY 1, 2) SELECT ok.dt AS dt, ok.sym AS sym, {rs('factor - coalesce(m, 0)', 'residual')} FROM ok LEFT JOIN m ON m.dt = ok.dt AND m.target = ok.sym")
 def j16(spark: SparkSession, d: str) -> DataFrame:
-    nn = sim.top_neighbours(sim.weighted_similarity(pairs(spark, d)), 5).select("target", "peer", "sim")
+    nn = sim.top_neighbours(similarity(spark, d), 5).select("target", "peer", "sim")
     return nt.neighbour_demean(fx.ok(spark, d), nn, "factor").select("dt", "sym", r("residual", "residual"))
 
 

@@ -100,5 +100,5 @@ def x12(spark: SparkSession, d: str) -> DataFrame:
 def x13(spark: SparkSession, d: str) -> DataFrame:
     """Mean return of the neighbours in the undirected relationship graph."""
     g = gr.undirected(fx.edges(spark, d)).where("target <> peer").withColumn("w", F.lit(1.0))
-    f = jobs.stacked(graph=fa.peer_factor(g, qg.relative(spark, d), 0.0))
+    f = jobs.stacked(graph=fa.peer_factor_join(g, qg.relative(spark, d), 0.0))
     return scored(jobs.variant_scores(f, labels(spark, d)))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-MODULES = ("queries_cross", "queries_graph", "queries_backtest", "queries_joins", "queries_text", "queries_jobs")
+MODULES = ("queries_cross", "queries_graph", "queries_backtest", "queries_joins", "queries_text", "queries_jobs", "queries_stores")
 
 
 def _load() -> None:

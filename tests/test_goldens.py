@@ -192,3 +192,23 @@ def test_report_page(spark):
     page = render(summary, series, "A & B")
     assert "12.34%" in page and "n/a" in page and "<polyline" in page and "A &amp; B" in page
     assert formatted(3.0, "integer") == "3" and formatted(0.5, "ratio") == "0.500"
+
+
+def test_matrix_forms_agree_with_joins(spark):
+    import random
+
+    from factorspark.operators import factor as fa
+    from factorspark.operators import similarity as sm
+
+    rng = random.Random(6)
+    emb = spark.createDataFrame([(s, c, [rng.gauss(0, 1) for _ in range(4)] if s != 5 else [0.0] * 4) for s in range(30) for c in range(3) if (s + c) % 7], "sym long, category int, emb array<float>")
+    for w in (None, {0: 0.5, 1: 0.0}):
+        a = {(r.target, r.peer): r.sim for r in sm.weighted_similarity(sm.category_cosine(emb, emb), w).collect()}
+        b = {(r.target, r.peer): r.sim for r in sm.block_similarity(emb, emb, w, 3).collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    weights = spark.createDataFrame([(f"t{t}", f"p{p}", rng.random() if rng.random() < 0.8 else 0.0) for t in range(12) for p in range(20)], "target string, peer string, w double")
+    rets = spark.createDataFrame([(dt.date(2020, 1, d), f"p{p}", rng.gauss(0, 1) if rng.random() < 0.9 else None) for d in range(1, 10) for p in range(22)], "dt date, sym string, ret double")
+    for gate in (0.0, 7.0):
+        a = {(r.dt, r.sym): r.factor for r in fa.peer_factor_join(weights, rets, gate).collect()}
+        b = {(r.dt, r.sym): r.factor for r in fa.peer_factor(weights, rets, gate).collect()}
+        assert a and a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
