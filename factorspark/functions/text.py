@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FILINGS = "https://www.sec.gov/Archives" + "/edgar"
 REGION_SUFFIXES = ((".T", "jp_topix"), (".TW", "tw_twse"), (".KS", "kr_kospi"), (".HK", "hk_hsci"))
-CATEGORIES = ("main_business_segments", "core_technologies_production_methods", "primary_customers_markets", "geographic_coverage", "supply_chain_position", "strategic_focus_rd_direction", "revenue_model", "key_competitors_industry_positioning", "financial_scale_growth_profile", "value_proposition_product_differentiation")
+CATEGORIES = tuple("main_business_segments core_technologies_production_methods primary_customers_markets geographic_coverage supply_chain_position strategic_focus_rd_direction revenue_model key_competitors_industry_positioning financial_scale_growth_profile value_proposition_product_differentiation".split())
 
 
 def file_parts(name: Column) -> Column:
@@ -43,7 +44,7 @@ def hk_code(x: Column) -> Column:
 
 
 def accession_url(cik: Column, accession: Column, document: Column) -> Column:
-    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.regexp_replace(cik, "^0+", ""), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
+    return F.concat(F.lit(FILINGS + "/data/"), F.regexp_replace(cik, "^0+", ""), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
 
 
 def roc_date(x: Column) -> Column:
@@ -94,7 +95,7 @@ def relevant_pages(pages: DataFrame, doc: str = "doc", page: str = "page", text:
     return rows.where(F.col("__k") | (F.col("__kept") < F.greatest(F.lit(8), F.col("__n") * 0.15))).drop("__k", "__n", "__kept")
 
 
-def encode_ck(c: float, k: float) -> str:
+def encode_ck(c, k):
     """Name part of sigmoid parameters: (0.99, 50) -> c0_99_k50."""
     number = lambda v: (str(int(v)) if float(v).is_integer() else f"{v:g}" if v < 1e-3 else f"{v:.10f}".rstrip("0")).replace(".", "_")
     c_text = f"{c:.2f}" if round(c, 2) == c else f"{c:.10f}".rstrip("0")
@@ -109,7 +110,8 @@ def decode_ck(name: str) -> tuple[float, float]:
 
 
 def encode_threshold(t: float) -> str:
-    return "t" + f"{t:.2f}".replace(".", "_")
+    whole, part = divmod(round(100 * t), 100)
+    return f"t{whole}_{part:02d}"
 
 
 def factor_name(target: str, peer: str, kind: str, c: float, k: float) -> str:

@@ -13,9 +13,9 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
 
 
-def sigmoid_weights(pct: Column, k: float = 50.0, c: float = 0.99) -> Column:
+def sigmoid_weights(pct: Column, steepness=50.0, center=0.99) -> Column:
     """Logistic weight of a percentile rank."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-float(k)) * (pct - F.lit(float(c)))))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-float(steepness)) * (pct - F.lit(float(center)))))
 
 
 def threshold_weights(pct: Column, t: float = 0.95) -> Column:
@@ -53,7 +53,7 @@ def squash(x: Column, method: str = "tanh") -> Column:
         return F.tanh(x)
     if method == "clip":
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    raise ValueError(f"Unknown squash method: {method}")
+    raise ValueError(f"no such squashing: {method}")
 
 
 def normal_cdf(x: Column) -> Column:

@@ -70,10 +70,10 @@ def normalize(x: str, w: WindowSpec, n: int, method: str = "zscore") -> Column:
         return tanh_rank(x, w, n)
     if method == "demean":
         return demean(x, w, n)
-    raise ValueError(f"Unknown normalization method: {method}")
+    raise ValueError(f"no such normalization: {method}")
 
 
-def winsorize(x: str, w: WindowSpec, method: str = "std", n: float = 3.0) -> Column:
+def winsorize(x: str, w: WindowSpec, method="std", n=3.0) -> Column:
     """Dispatch by method name."""
     if method == "std":
         return winsorize_std(x, w, n)
@@ -81,7 +81,7 @@ def winsorize(x: str, w: WindowSpec, method: str = "std", n: float = 3.0) -> Col
         return winsorize_mad(x, w, n)
     if method == "quantile":
         return winsorize_quantile(x, w, n)
-    raise ValueError(f"Unknown winsorize method: {method}")
+    raise ValueError(f"no such winsorizing: {method}")
 
 
 def ema(df: DataFrame, x: str, by: Sequence[str], order: str, span: int, out: str = "ema") -> DataFrame:

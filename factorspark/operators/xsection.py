@@ -110,11 +110,11 @@ NORMALIZERS = {"zscore": zscore, "minmax": minmax, "rank": rank_scaled, "demean"
 def normalize(x: str, by: Sequence[str], method: str = "zscore") -> Column:
     """Dispatch by method name."""
     if method not in NORMALIZERS:
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"no such normalization: {method}")
     return NORMALIZERS[method](x, by)
 
 
-def winsorize(df, x: str, by: Sequence[str], method: str = "std", n: float = 3.0, out: str = "winsorized"):
+def winsorize(df, x: str, by: Sequence[str], method="std", n=3.0, out: str = "winsorized"):
     """Adds a winsorized column to a frame, by method name."""
     if method == "std":
         return df.withColumn(out, winsorize_std(x, by, n))
@@ -124,4 +124,4 @@ def winsorize(df, x: str, by: Sequence[str], method: str = "std", n: float = 3.0
         df = df.withColumn("__median", median(x, by))
         df = df.withColumn("__mad", mad(x, "__median", by))
         return df.withColumn(out, winsorize_around(x, "__median", "__mad", n)).drop("__median", "__mad")
-    raise ValueError(f"Unknown winsorize method: {method}")
+    raise ValueError(f"no such winsorizing: {method}")

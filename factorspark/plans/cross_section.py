@@ -16,7 +16,9 @@ from factorspark.operators import stats
 from factorspark.operators.returns import reference_price
 from factorspark.operators.xsection import layer, normalize, winsorize
 
-SIDES = {"ls": "long_short", "long": "long", "short": "short", "passive": "passive", "short_passive": "short_passive"}
+ALL_SIDES = "ls long short passive short_passive".split()
+HELD = tuple(ALL_SIDES[:4])
+SIDES = dict(zip(ALL_SIDES, ["long_short", *ALL_SIDES[1:]], strict=True))
 MODES = ("long/short_layers", "long/short_normalization")
 
 
@@ -95,7 +97,7 @@ def positions(df: DataFrame) -> DataFrame:
     ).drop("__d")
 
 
-def trades(df: DataFrame, sides: tuple[str, ...] = ("ls", "long", "short", "passive")) -> DataFrame:
+def trades(df: DataFrame, sides: tuple[str, ...] = HELD) -> DataFrame:
     """Adds base_<side> and trade_<side>: PnL before fees and traded volume of each row."""
     w = Window.partitionBy("sym").orderBy("dt")
     out = {}
@@ -121,7 +123,7 @@ def fee_table(df: DataFrame, fees: tuple[float, ...]) -> DataFrame:
 
 def pnl(traded: DataFrame, fees: tuple[float, ...]) -> DataFrame:
     """(cost, dt, side, pnl) per date: sums over symbols first, fees applied to the sums."""
-    sides = ("ls", "long", "short", "passive")
+    sides = HELD
     sums = traded.groupBy("dt").agg(*[F.sum(f"base_{s}").alias(f"b_{s}") for s in sides], *[F.sum(f"trade_{s}").alias(f"t_{s}") for s in sides])
     rows = [F.struct(F.lit(s).alias("side"), F.col(f"b_{s}").alias("b"), F.col(f"t_{s}").alias("t")) for s in sides]
     rows.append(F.struct(F.lit("short_passive").alias("side"), (-F.col("b_passive")).alias("b"), F.col("t_passive").alias("t")))
@@ -131,12 +133,12 @@ def pnl(traded: DataFrame, fees: tuple[float, ...]) -> DataFrame:
 
 def turnover(traded: DataFrame) -> DataFrame:
     """(dt, ls, long, short, passive): position changes summed per date."""
-    return traded.groupBy("dt").agg(*[F.sum(f"turn_{s}").alias(s) for s in ("ls", "long", "short", "passive")])
+    return traded.groupBy("dt").agg(*[F.sum(f"turn_{s}").alias(s) for s in HELD])
 
 
 def win_rates(traded: DataFrame, fees: tuple[float, ...]) -> DataFrame:
     """(cost, side, win_rate): share of held rows with a positive PnL."""
-    sides = ("ls", "long", "short", "passive")
+    sides = HELD
     rows = [F.struct(F.lit(s).alias("side"), F.col(f"base_{s}").alias("b"), F.col(f"trade_{s}").alias("t"), F.col(f"pos_{s}").alias("p")) for s in sides]
     rows.append(F.struct(F.lit("short_passive").alias("side"), (-F.col("base_passive")).alias("b"), F.col("trade_passive").alias("t"), F.col("pos_passive").alias("p")))
     tidy = traded.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("p <> 0").crossJoin(F.broadcast(fee_table(traded, fees)))  # a row a fee
@@ -189,9 +191,9 @@ def summary(df: DataFrame, c: Config | None = None) -> DataFrame:
     daily = pnl(traded, c.fees).groupBy("cost", "side", F.to_date("dt").alias("day")).agg(F.sum("pnl").alias("pnl"))
     years = daily.crossJoin(F.broadcast(t))  # one row
     got = stats.return_metrics(years.withColumn("__years", F.col("num_years")), "pnl", ["cost", "side", "num_years", "dates_to_years"], "day", F.col("num_years"), F.col("dates_to_years"))
-    turn = turnover(traded).agg(*[F.avg(s).alias(s) for s in ("ls", "long", "short", "passive")])
+    turn = turnover(traded).agg(*[F.avg(s).alias(s) for s in HELD])
     ratio = F.when(F.col("side") == "short_passive", F.col("passive"))
-    for s in ("ls", "long", "short", "passive"):
+    for s in HELD:
         ratio = ratio.when(F.col("side") == s, F.col(s))
     got = got.crossJoin(F.broadcast(turn)).withColumn("turnover_ratio", ratio)  # one row
     got = got.withColumn("ret_sharpe_per_turnover", F.when(F.col("turnover_ratio") > 0, F.col("ret_sharpe") / F.col("turnover_ratio")).otherwise(F.lit(0.0)))

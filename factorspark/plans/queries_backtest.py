@@ -41,7 +41,7 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
 @query("w10_positions", f"WITH {BASE_SQL} SELECT dt, sym, layer, {rs('pos_ls', 'pos_ls')}, {rs('pos_long', 'pos_long')}, {rs('pos_short', 'pos_short')}, {rs('pos_passive', 'pos_passive')} FROM b6")
 def w10(spark: SparkSession, d: str) -> DataFrame:
     got = cs.positions(cs.raw_signal(cs.prepare(base(spark, d), 1), C))
-    return got.select("dt", "sym", "layer", *[r(f"pos_{s}", f"pos_{s}") for s in ("ls", "long", "short", "passive")])
+    return got.select("dt", "sym", "layer", *[r(f"pos_{s}", f"pos_{s}") for s in cs.HELD])
 
 
 @query("w11_transaction_pnl", f"WITH {BASE_SQL} SELECT dt, sym, {rs('old_ls - prev_ls - abs(pos_ls - old_ls) * 0.0005', 'tpnl_ls')}, {rs('old_long - prev_long - abs(pos_long - old_long) * 0.0005', 'tpnl_long')} FROM b7")
@@ -62,7 +62,7 @@ def a36(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w14_a40_position_turnover", f"WITH {BASE_SQL} SELECT dt, {rs('sum(abs(pos_ls - prev_ls))', 'ls')}, {rs('sum(abs(pos_long - prev_long))', 'long')}, {rs('sum(abs(pos_short - prev_short))', 'short')}, {rs('sum(abs(pos_passive - prev_passive))', 'passive')} FROM b7 GROUP BY dt")
 def w14b(spark: SparkSession, d: str) -> DataFrame:
-    return cs.turnover(cs.prepared(base(spark, d), C)).select("dt", *[r(s, s) for s in ("ls", "long", "short", "passive")])
+    return cs.turnover(cs.prepared(base(spark, d), C)).select("dt", *[r(s, s) for s in cs.HELD])
 
 
 _LR = f"l1 AS (SELECT *, CASE WHEN layer > 0 THEN CASE WHEN sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) OVER g > 0 THEN CASE WHEN weight > 0 THEN weight ELSE 0 END / sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) OVER g ELSE 1.0 / count(*) OVER g END ELSE 0 END AS lp FROM b2 WINDOW g AS (PARTITION BY dt, layer)), l2 AS (SELECT dt, lag(layer) OVER s AS pl, lag(lp / ref) OVER s * ref - lag(lp) OVER s AS b FROM l1 WINDOW s AS ({_P}))"
@@ -153,7 +153,7 @@ def x1n(spark: SparkSession, d: str) -> DataFrame:
     return cs.positions(cs.raw_signal(cs.prepare(base(spark, d), 1), c)).select("dt", "sym", r("pos_ls", "pos_ls"))
 
 
-# ---- one series ------------------------------------------------------------------------------------
+# one series
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +205,7 @@ def ts_table(spark: SparkSession, d: str) -> DataFrame:
 @query("w11_ts_transaction_pnl", f"WITH {fx.SERIES_SQL}, {_TS} SELECT t, {rs('t_ls', 'ls')}, {rs('t_lo', 'long')}, {rs('t_sh', 'short')}, {rs('t_pa', 'passive')}, {rs('t_sp', 'short_passive')} FROM p4")
 def w11t(spark: SparkSession, d: str) -> DataFrame:
     got = ts.trades(ts_table(spark, d), 0.0002)
-    return got.select("t", *[r(f"tpnl_{s}", s) for s in ("ls", "long", "short", "passive", "short_passive")])
+    return got.select("t", *[r(f"tpnl_{s}", s) for s in cs.ALL_SIDES])
 
 
 @query("x2_time_series_summary", f"WITH {fx.SERIES_SQL}, {_TS}, u AS (SELECT day, unnest(['ls', 'long', 'short', 'passive', 'short_passive']) AS side, unnest([t_ls, t_lo, t_sh, t_pa, t_sp]) AS pnl FROM p4), dy AS (SELECT side, day, sum(pnl) AS pnl FROM u GROUP BY 1, 2), y AS (SELECT greatest(date_diff('day', min(day), max(day)) / 365.25, 1 / 365.25) AS y FROM p4), c AS (SELECT *, sum(pnl) OVER (PARTITION BY side ORDER BY day) AS cum FROM dy), tp AS (SELECT *, max(cum) OVER (PARTITION BY side ORDER BY day) AS top FROM c), m AS (SELECT side, sum(pnl) / max(y) AS ra, avg(pnl) AS mu, stddev_pop(pnl) AS sd, stddev_pop(CASE WHEN pnl < 0 THEN pnl END) AS dn, greatest(least(min((cum - top) / nullif(top + 1, 0)), 0), -1) AS dd FROM tp, y GROUP BY side) SELECT side, {rs('ra', 'ret_annual')}, {rs('CASE WHEN sd > 0 THEN mu / sd * sqrt(252.0) ELSE 0 END', 'ret_sharpe')}, {rs('CASE WHEN coalesce(dn, 0) > 0 THEN mu / dn * sqrt(252.0) ELSE 0 END', 'ret_sortino')}, {rs('dd', 'ret_max_dd')}, {rs('CASE WHEN dd <> 0 THEN ra / abs(dd) ELSE 0 END', 'ret_calmar')} FROM m")

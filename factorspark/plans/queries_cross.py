@@ -198,7 +198,7 @@ def w42(spark: SparkSession, d: str) -> DataFrame:
     return got.where("shares IS NOT NULL").select("dt", "sym", r(ret.log_size(F.col("close"), F.col("shares")), "lncap"))
 
 
-# ---- rolling ---------------------------------------------------------------------------------------
+# rolling
 
 _RW = "WINDOW w AS (PARTITION BY sym ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
 
@@ -227,7 +227,7 @@ def w33(spark: SparkSession, d: str) -> DataFrame:
     return got.select("dt", "sym", r("ema", "ema"), r(F.try_divide("close", "ema") - 1, "deviation"))
 
 
-# ---- statistics ------------------------------------------------------------------------------------
+# statistics
 
 _CORR = "CASE WHEN count(*) > 1 AND stddev_pop({x}) > 1e-14 AND stddev_pop({y}) > 1e-14 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
 IC_SQL = f"ics AS (SELECT dt, {_CORR.format(x='factor', y='label')} AS ic FROM ok GROUP BY dt)"

@@ -109,7 +109,7 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return gr.undirected(e.where("target % 2 = 0"), e.where("target % 2 = 1"))
 
 
-# ---- peer factors ----------------------------------------------------------------------------------
+# peer factors
 
 REL_SQL = "rel AS (SELECT dt, p.sym AS sym, x - avg(x) OVER (PARTITION BY dt, sector) AS ret FROM (SELECT dt, sym, close / nullif(lag(close, 3) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS x FROM panel) p JOIN symbols USING (sym)), lab AS (SELECT dt, sym, lead(close) OVER (PARTITION BY sym ORDER BY dt) / nullif(close, 0) - 1 AS label FROM panel)"
 PF_SQL = "ws AS (SELECT * FROM w WHERE target <> peer), pf AS (SELECT dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM ws JOIN rel ON rel.sym = ws.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions.weights import squash
 from factorspark.operators import rolling, stats
+from factorspark.plans.cross_section import ALL_SIDES, HELD
 
 WINDOW = 126
 
@@ -52,7 +53,7 @@ def trades(df: DataFrame, fee: float, by: Sequence[str] = ("key",), order: str =
     w = Window.partitionBy(*by).orderBy(order)
     df = df.withColumns({"pos_ls": F.col("pos"), "pos_long": F.greatest("pos", F.lit(0.0)), "pos_short": F.least("pos", F.lit(0.0)), "pos_passive": F.lit(1.0)})
     out = {}
-    for s in ("ls", "long", "short", "passive"):
+    for s in HELD:
         prev = F.coalesce(F.lag(f"pos_{s}").over(w), F.lit(0.0))
         old = F.coalesce(F.lag(F.col(f"pos_{s}") / F.col("ref")).over(w), F.lit(0.0)) * F.col("ref")
         out[f"tpnl_{s}"] = old - prev - F.abs(F.col(f"pos_{s}") - old) * fee
@@ -99,7 +100,7 @@ def acf(df: DataFrame, factor: str, lags: Sequence[int], by: Sequence[str] = ("k
 def summary(df: DataFrame, fee: float, by: Sequence[str] = ("key",), order: str = "t", day: str = "day", annual_days: float = 252) -> DataFrame:
     """(key, side, metrics) of a table with ``pos`` and ``ref``."""
     traded = trades(df, fee, by, order)
-    sides = ("ls", "long", "short", "passive", "short_passive")
+    sides = ALL_SIDES
     tidy = traded.select(*by, day, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"tpnl_{s}").alias("pnl")) for s in sides])).alias("r")).select(*by, day, "r.*")
     daily = tidy.groupBy(*by, "side", day).agg(F.sum("pnl").alias("pnl"))
     t = traded.groupBy(*by).agg(F.greatest(F.datediff(F.max(day), F.min(day)) / F.lit(365.25), F.lit(1 / 365.25)).alias("years"))

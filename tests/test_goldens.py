@@ -121,7 +121,7 @@ def test_panel_store_round_trip(spark, tmp_path):
 def test_reports_and_dictionaries(spark, tmp_path):
     folder = tmp_path / "us_fy24"
     folder.mkdir()
-    (folder / "a.json").write_text('{"symbol": "A", "form_type": "10-K", "filing_date": "2024-01-01", "source_file": "a", "categories": {"revenue_model": "r"}}')
+    (folder / "a.json").write_text('{"source_file": "a", "categories": {"revenue_model": "r"}, "filing_date": "2024-01-01", "symbol": "A", "form_type": "10-K"}')
     (folder / "b.json").write_text('{"symbol": "A", "report_type": "SecReport", "filing_date": "2025-01-01", "source_file": "b", "categories": {}}')
     (folder / "bad.json").write_text("{not json")
     got = ps.load_reports(spark, [str(folder)])
