@@ -11,8 +11,8 @@ from factorspark.llm.runtime import cut
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step over directed pairs (a, b): what a knows is hung under a's least neighbour."""
     least = pairs.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    least = least.select(F.col("a").alias("node"), "m")
-    hung = pairs.join(least, pairs.a == least.node)
+    least = least.select(F.col("a").alias("node"), F.xxhash64("a").alias("h"), "m")
+    hung = pairs.join(least, (pairs.a == least.node) & (F.xxhash64(pairs.a) == least.h))  # the second key makes both sides exchange, so a node with many neighbours can be split
     if large:
         hung = hung.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
