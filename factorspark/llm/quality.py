@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import textvec
-from factorspark.llm.textvec import IS_SPACE, buffers, mix, pieces, shingles, slices, words
+from factorspark.llm.runtime import trim
+from factorspark.llm.textvec import IS_SPACE, Pair, buffers, mix, pieces, shingles, slices, words
 from factorspark.llm.training import labelled_sample
 
 THRESHOLD = 0.5
@@ -82,7 +83,7 @@ def base_failed(n_words: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     return (n_words < LEAST_WORDS) | (100 * repeated > 20 * n_words)
 
 
-def _word_places(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_places(data: np.ndarray, offs: np.ndarray) -> Pair:
     _, _, h, firsts = words(data, offs, lower=False)
     return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), firsts
 
@@ -199,7 +200,9 @@ def fit(samples: list[tuple[str, int]], steps: int = STEPS, l2: float = L2) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds) -> Model:
-    return fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, **({"rows": ROWS, "size": BYTES} | bounds))])
+    model = fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, **({"rows": ROWS, "size": BYTES} | bounds))])
+    trim()
+    return model
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

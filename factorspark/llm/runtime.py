@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system after a fit on the driver, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give_back is not None:
+            give_back(0)
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's columns, never null; joins add a null-safe test of the id itself."""
     return F.xxhash64(*cols)

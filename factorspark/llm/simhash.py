@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.graph import components
 from factorspark.llm.runtime import cut, row_key
-from factorspark.llm.textvec import PIECE, buffers
+from factorspark.llm.textvec import PIECE, Pair, buffers
 
 WIDTH = 4
 SEED = 42
@@ -104,7 +104,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _small(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _small(keys: np.ndarray, fps: np.ndarray, bits: int) -> Pair:
     """Forest edges of complete lists lying one after the other, compared at growing shifts."""
     ends = np.searchsorted(keys, keys, "right")
     left = [np.zeros(0, np.int64)]
@@ -120,7 +120,7 @@ def _small(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return fps[hung], fps[label[hung]]
 
 
-def _dense(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(fps: np.ndarray, bits: int) -> Pair:
     """Forest edges of one list whose members differ in 16 known bits at most: masks instead of pairs."""
     spread = np.bitwise_or.reduce(fps ^ fps[0])
     free = [b for b in range(64) if spread >> np.uint64(b) & np.uint64(1)]

@@ -11,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
+Pair = tuple[np.ndarray, np.ndarray]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -27,21 +28,20 @@ _CODE_LOWER = _CODE[LOWER]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> Pair:
     if n in _POWERS:
         return _POWERS[n]
     up = np.full(n + 1, _BASE, np.uint64)
     down = np.full(n + 1, _BASE_INV, np.uint64)
     up[0] = down[0] = 1
     got = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if n <= 4 * PIECE:
+    if n <= PIECE + 4096:
         _POWERS[n] = got
     return got
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(PIECE, 1 << max(n, 1).bit_length())
-    return _powers(size)
+def powers(n: int) -> Pair:
+    return _powers(PIECE + 4096 if n <= PIECE + 4096 else 1 << n.bit_length())
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(column: pa.Array) -> Pair:
     """Bytes and offsets of a string column; a null is an empty text."""
     if column.null_count:
         column = column.fill_null("")
@@ -120,7 +120,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, hashed: bool =
     return starts, join(ends, np.int64), join(hashes, np.uint64), np.searchsorted(starts, offs)
 
 
-def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Pair:
     """Hash of each window of ``width`` words inside one text, and the index of its first word."""
     n = len(hashes) - width + 1
     if n <= 0:

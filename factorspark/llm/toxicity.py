@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import textvec
-from factorspark.llm.textvec import LOWER, buffers, mix, pieces, slices
+from factorspark.llm.runtime import trim
+from factorspark.llm.textvec import LOWER, Pair, buffers, mix, pieces, slices
 from factorspark.llm.training import held_out, labelled_sample
 
 THRESHOLD = 0.3
@@ -40,13 +41,13 @@ _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def parted(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def parted(column: pa.Array) -> Pair:
     """Bytes and offsets of a string column with a newline after every text, so that none touches the next."""
     raw, offs = buffers(column)
     n = len(offs) - 1
-    data = np.full(len(raw) + n, 0x0A, np.uint8)
-    data[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offs))] = raw
-    return data, offs + np.arange(n + 1)
+    text, cuts = raw.tobytes(), offs.tolist()
+    line = b"\n".join([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]) + b"\n" * (n > 0)
+    return np.frombuffer(line, np.uint8), offs + np.arange(n + 1)
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -71,7 +72,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield hashes ^ _C, starts + (a - 1)
 
 
-def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sentences(data: np.ndarray, offs: np.ndarray) -> Pair:
     """Positions of sentence ends, and per text its number of sentences that have a token."""
     ends, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     seen = 0
@@ -101,10 +102,14 @@ class Model:
     leak: float
 
 
-def hits(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bitmap(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[(keys >> np.uint64(44)).astype(np.int64)] = True
+    return out
+
+
+def hits(data: np.ndarray, offs: np.ndarray, keys: np.ndarray, bitmap: np.ndarray) -> Pair:
     """Positions and indexes of the occurrences of known features."""
-    bitmap = np.zeros(1 << 20, bool)
-    bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
     pos, ks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for h, at in features(data, offs):
         some = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])
@@ -115,7 +120,7 @@ def hits(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(pos), np.concatenate(ks)
 
 
-def _sentence_of(pos: np.ndarray, ends: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sentence_of(pos: np.ndarray, ends: np.ndarray, data: np.ndarray, offs: np.ndarray) -> Pair:
     """Text and sentence key of an occurrence; one that starts at a separator belongs to the byte after it."""
     pos = np.where(pos < 0, 0, pos)
     pos = pos + ((_FOLD[data[pos]] == 0x20) & (pos + 1 < len(data)))
@@ -123,10 +128,10 @@ def _sentence_of(pos: np.ndarray, ends: np.ndarray, data: np.ndarray, offs: np.n
     return text, np.searchsorted(ends, pos) + text
 
 
-def _present(data: np.ndarray, offs: np.ndarray, keys: np.ndarray):
+def _present(data: np.ndarray, offs: np.ndarray, keys: np.ndarray, bitmap: np.ndarray):
     """Distinct (text, sentence, feature) rows, with the sentence counts of the texts."""
     ends, counts = sentences(data, offs)
-    pos, ks = hits(data, offs, keys)
+    pos, ks = hits(data, offs, keys, bitmap)
     if not len(pos):
         return np.zeros((0, 3), np.int64), counts, ends
     text, key = _sentence_of(pos, ends, data, offs)
@@ -146,36 +151,45 @@ def fit(samples: list[tuple[str, int]], vocabulary: int = VOCABULARY, steps: int
     y = np.array([1.0 if label else 0.0 for _, label in samples])
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -12.0, 0.05)
-    data, offs = parted(pa.array([t for t, _ in samples], pa.large_string()))
-    docs, keys = [], []
-    for k in range(len(y)):
-        own = data[offs[k] : offs[k + 1]]
-        found = [h for h, _ in features(own, np.array([0, len(own)]))]
-        if found and len(h := np.unique(np.concatenate(found))):
-            keys.append(h)
-            docs.append(np.full(len(h), k))
-    all_keys, all_docs = np.concatenate(keys), np.concatenate(docs)
-    del keys, docs
-    names, inverse = np.unique(all_keys, return_inverse=True)
-    df = np.bincount(inverse)
-    pos = np.bincount(inverse, weights=y[all_docs])
+    texts = [t for t, _ in samples]
+
+    def of(k: int) -> np.ndarray:
+        found = [h for h, _ in features(*parted(pa.array(texts[k : k + 1], pa.large_string())))]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
     rate = y.mean()
-    z = (pos - rate * df) / np.sqrt(df * rate * (1 - rate) + 1)
+    score_of = lambda df, pos: (pos - rate * df) / np.sqrt(df * rate * (1 - rate) + 1)
+    df, pos = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+    for k in range(len(y)):  # first by place in a fixed table, which bounds memory, then exactly for what passes
+        at = (of(k) >> np.uint64(42)).astype(np.int64)
+        df[at] += 1
+        pos[at] += int(y[k])
+    passed = np.concatenate([(n >= LEAST_DOCS) & (score_of(n, m) > SCREEN) for n, m in zip(np.split(df, 64), np.split(pos, 64), strict=True)])
+    found = [h[passed[(h >> np.uint64(42)).astype(np.int64)]] for h in map(of, range(len(y)))]
+    names, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    df, pos = np.bincount(inverse, minlength=len(names)), np.bincount(inverse, weights=np.repeat(y, [len(h) for h in found]), minlength=len(names))
+    z = score_of(df, pos)
     ok = np.flatnonzero((df >= LEAST_DOCS) & (z > SCREEN))
     ok = ok[np.lexsort((names[ok], -z[ok]))][:vocabulary]
     vocab = np.sort(names[ok])
-    del all_keys, all_docs, inverse
-    rows, counts, _ = _present(data, offs, vocab)
-    text, key, ks = rows.T
-    uniq, sent = np.unique(key, return_inverse=True)
-    doc_of = np.zeros(len(uniq), np.int64)
-    doc_of[sent] = text
+    del found, inverse
+    bitmap, (sent, ks, counts, doc_of) = _bitmap(vocab), ([], [], [], [])
+    seen = 0
+    for k in range(len(texts)):  # text by text: what is held is the present features alone
+        rows, n, _ = _present(*parted(pa.array(texts[k : k + 1], pa.large_string())), vocab, bitmap)
+        uniq, own = np.unique(rows[:, 1], return_inverse=True)
+        sent.append((own + seen).astype(np.int32))
+        ks.append(rows[:, 2].astype(np.int32))
+        doc_of.append(np.full(len(uniq), k, np.int32))
+        counts.append(n)
+        seen += len(uniq)
+    sent, ks, doc_of, counts = (np.concatenate(x) for x in (sent, ks, doc_of, counts))
     bare = counts - np.bincount(doc_of, minlength=len(y))
     w, b, q = np.zeros(len(vocab)), -5.0, np.log(rate / 2)
     gw, gb, gq = np.zeros(len(vocab)), 0.0, 0.0
     n = len(y)
     for _ in range(steps):
-        zs = b + np.bincount(sent, weights=w[ks], minlength=len(uniq))
+        zs = b + np.bincount(sent, weights=w[ks], minlength=seen)
         ps, p0 = 1 / (1 + np.exp(-zs)), 1 / (1 + np.exp(-b))
         leak = np.exp(q)
         log_q = np.log1p(-leak) - np.bincount(doc_of, weights=_softplus(zs), minlength=n) - bare * _softplus(np.array(b))
@@ -202,7 +216,7 @@ def score(model: Model, column: pa.Array, threshold: float = THRESHOLD):
 
     Starts and ends are byte offsets in the text."""
     data, offs = parted(column)
-    rows, counts, ends = _present(data, offs, model.keys)
+    rows, counts, ends = _present(data, offs, model.keys, _bitmap(model.keys))
     log_q = np.log1p(-model.leak) - counts * _softplus(np.array(model.bias))
     spans = []
     if len(rows):
@@ -222,7 +236,9 @@ def score(model: Model, column: pa.Array, threshold: float = THRESHOLD):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **bounds) -> Model:
     """A model from the labelled rows outside the held-out quarter."""
-    return fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, ~held_out(), **bounds)])
+    model = fit([(t, y) for _, y, t in labelled_sample(docs, labels, label, ~held_out(), **bounds)])
+    trim()
+    return model
 
 
 def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
