@@ -6,13 +6,39 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
 BLOCKS = 4
 
 
+def _products(weights: GroupedData, returns: GroupedData, dt: str, sym: str) -> DataFrame:
+    """(dt, sym, n, d): each group of (target, peer, w) rows times its group of (dt, s, r) rows; ``dt`` and ``sym`` are types."""
+
+    def codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        d = column.combine_chunks().dictionary_encode()
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        targets, ti = codes(left["target"])
+        dates, di = codes(right["dt"])
+        both = pa.chunked_array([*left["peer"].chunks, *right["s"].cast(left["peer"].type).chunks])
+        _, at = codes(both)
+        pi, ri = at[: len(ti)], at[len(ti) :]
+        n = int(at.max()) + 1 if len(at) else 0
+        a, x, known = np.zeros((len(targets), n)), np.zeros((n, len(dates))), np.zeros((n, len(dates)))
+        np.add.at(a, (ti, pi), left["w"].to_numpy())
+        x[ri, di] = right["r"].to_numpy()
+        known[ri, di] = 1.0
+        num, den = a @ x, a @ known
+        i, j = np.nonzero(den)
+        return pa.table({"dt": dates.take(pa.array(j)), "sym": targets.take(pa.array(i)), "n": num[i, j], "d": den[i, j]})
+
+    return weights.cogroup(returns).applyInArrow(multiply, f"dt {dt}, sym {sym}, n double, d double")
+
+
 def peer_factor_join(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret: str = "ret") -> DataFrame:
     """(dt, sym, factor): sum(w * r) / sum(w) over a target's peers with a return, where sum(w) > gate.
 
@@ -38,39 +64,29 @@ def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret:
     w = weights.where("w <> 0").select("target", "peer", "w", deal("target").alias("i"), deal("peer").alias("p")).withColumn("m", every)
     r = returns.where(F.col(ret).isNotNull()).select("dt", F.col("sym").alias("s"), F.col(ret).cast("double").alias("r"), deal("sym").alias("rp"), deal("dt").alias("rm")).withColumn("ri", every)
     kinds = (returns.schema["dt"].dataType.simpleString(), weights.schema["target"].dataType.simpleString())
+    parts = _products(w.groupBy("i", "p", "m"), r.groupBy("ri", "rp", "rm"), *kinds)
+    got = parts.groupBy("dt", "sym").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return got.where(F.col("d") > gate).select("dt", "sym", (F.col("n") / F.col("d")).alias("factor"))
 
-    def codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-        d = column.combine_chunks().dictionary_encode()
-        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
-        return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        targets, ti = codes(left["target"])
-        dates, di = codes(right["dt"])
-        both = pa.chunked_array([*left["peer"].chunks, *right["s"].cast(left["peer"].type).chunks])
-        _, at = codes(both)
-        pi, ri = at[: len(ti)], at[len(ti) :]
-        n = int(at.max()) + 1 if len(at) else 0
-        a, x, known = np.zeros((len(targets), n)), np.zeros((n, len(dates))), np.zeros((n, len(dates)))
-        np.add.at(a, (ti, pi), left["w"].to_numpy())
-        x[ri, di] = right["r"].to_numpy()
-        known[ri, di] = 1.0
-        num, den = a @ x, a @ known
-        i, j = np.nonzero(den)
-        return pa.table({"dt": dates.take(pa.array(j)), "sym": targets.take(pa.array(i)), "n": num[i, j], "d": den[i, j]})
+def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int = BLOCKS) -> DataFrame:
+    """peer_factor with weights (month, target, peer, w) that hold for the days of their month.
+
+    A task multiplies a month's block of weights with the block's returns of that month.
+    """
+    from factorspark.functions.shipping import ship
 
-    parts = w.groupBy("i", "p", "m").cogroup(r.groupBy("ri", "rp", "rm")).applyInArrow(multiply, f"dt {kinds[0]}, sym {kinds[1]}, n double, d double")
+    ship(weights.sparkSession)
+    deal = lambda c: F.pmod(F.hash(c), F.lit(blocks))
+    w = weights.where("w IS NOT NULL").select("month", "target", "peer", "w", deal("target").alias("i"), deal("peer").alias("p"))
+    r = daily.where(F.col(ret).isNotNull()).select("dt", F.date_format("dt", "yyyy-MM").alias("rmonth"), F.col("sym").alias("s"), F.col(ret).cast("double").alias("r"), deal("sym").alias("rp"))
+    r = r.withColumn("ri", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = (daily.schema["dt"].dataType.simpleString(), weights.schema["target"].dataType.simpleString())
+    parts = _products(w.groupBy("i", "p", "month"), r.groupBy("ri", "rp", "rmonth"), *kinds)
     got = parts.groupBy("dt", "sym").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     return got.where(F.col("d") > gate).select("dt", "sym", (F.col("n") / F.col("d")).alias("factor"))
 
 
-def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float = 1.0, ret: str = "ret") -> DataFrame:
-    """peer_factor with weights (month, target, peer, w) that hold for the days of their month."""
-    r = daily.where(F.col(ret).isNotNull()).select("dt", F.date_format("dt", "yyyy-MM").alias("month"), F.col("sym").alias("peer"), F.col(ret).alias("__r"))
-    got = weights.join(r, ["month", "peer"]).groupBy("dt", F.col("target").alias("sym")).agg(F.sum(F.col("w") * F.col("__r")).alias("__n"), F.sum("w").alias("__w"))
-    return got.where(F.col("__w") > gate).select("dt", "sym", (F.col("__n") / F.col("__w")).alias("factor"))
-
-
 def pool(*factors: DataFrame) -> DataFrame:
     """Mean of several factors per date and symbol; a single one is returned as it is."""
     if len(factors) == 1:

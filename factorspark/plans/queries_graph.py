@@ -150,9 +150,9 @@ _DRET = "dret AS (SELECT dt, sym, close / nullif(lag(close) OVER (PARTITION BY s
 
 @query("a13_daily_factor", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET} SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM w JOIN dret ON dret.sym = w.peer WHERE ret IS NOT NULL AND target % 10 = 0 GROUP BY 1, 2 HAVING sum(w) > 1")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    """Factor of a stated sub-universe: every tenth symbol is a target, all are peers."""
+    """Factor of every symbol from all its peers."""
     dret = daily(spark, d).select("dt", "sym", ret.lookback_return(1).alias("ret"))
-    return fa.peer_factor(weights(spark, d).where("target % 10 = 0"), dret).select("dt", "sym", r("factor", "factor"))
+    return fa.peer_factor(weights(spark, d), dret).select("dt", "sym", r("factor", "factor"))
 
 
 @query("a14_similarity_pooling", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, u AS (SELECT target, peer, sim, region AS source FROM sims JOIN symbols ON symbols.sym = sims.peer), q AS (SELECT target, peer, row_number() OVER (PARTITION BY target ORDER BY sim, peer) / CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS pct FROM u WHERE source IN (0, 1, 2)), v AS (SELECT target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM q WHERE target <> peer) SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM v JOIN rel ON rel.sym = v.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1")
@@ -264,10 +264,10 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j20_month_keyed_weights", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET}, mw AS (SELECT DISTINCT strftime(dt, '%Y-%m') AS month, month(dt) AS m FROM daily) SELECT dt, target AS sym, {rs('sum(w * m * ret) / sum(w * m)', 'factor')} FROM w, mw JOIN dret ON strftime(dret.dt, '%Y-%m') = mw.month WHERE dret.sym = w.peer AND ret IS NOT NULL AND target % 20 = 0 GROUP BY 1, 2 HAVING sum(w * m) > 1")
 def j20(spark: SparkSession, d: str) -> DataFrame:
-    """Weights that differ by calendar month, for a stated sub-universe of targets."""
+    """Weights that differ by calendar month."""
     p = daily(spark, d)
     months = p.select(F.date_format("dt", "yyyy-MM").alias("month"), F.month("dt").alias("m")).distinct()
-    w = weights(spark, d).where("target % 20 = 0").crossJoin(F.broadcast(months)).select("month", "target", "peer", (F.col("w") * F.col("m")).alias("w"))  # one row a calendar month
+    w = weights(spark, d).crossJoin(F.broadcast(months)).select("month", "target", "peer", (F.col("w") * F.col("m")).alias("w"))  # one row a calendar month
     return fa.monthly_weighted_factor(w, p.select("dt", "sym", ret.lookback_return(1).alias("ret"))).select("dt", "sym", r("factor", "factor"))
 
 

@@ -75,11 +75,11 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x11_agentic_variants", f"{_HEAD}, wv AS (SELECT * FROM (SELECT 'baseline' AS v, target, peer, w FROM wa UNION ALL SELECT 'filter', target, peer, w FROM ff UNION ALL SELECT 'strength', target, peer, w * (1 + 0.3 * coalesce(s, 0)) FROM wa UNION ALL SELECT 'confirmed', target, peer, w * CASE WHEN s >= 0.6 THEN 1.3 ELSE 1.0 END FROM wa UNION ALL SELECT 'filter_strength', target, peer, w * (1 + 0.3 * coalesce(s, 0)) FROM ff) WHERE target <> peer AND target % 2 = 0), {_FACTOR}, {_SCORE} {_OUT}")
 def x11(spark: SparkSession, d: str) -> DataFrame:
-    """Five uses of assessed link strengths on a stated half of the targets."""
+    """Five uses of assessed link strengths on all targets."""
     w = qg.weights(spark, d)
     s = qg.strengths(w)
     all_ = jobs.stacked(baseline=w, filter=gr.strength_filter(w, s, 0.5), strength=gr.strength_boost(w, s, 0.3), confirmed=gr.confirmed_boost(w, s, 0.6, 0.3), filter_strength=gr.filter_and_boost(w, s, 0.5, 0.3))
-    return scored(jobs.variant_scores(jobs.variant_factors(all_.where("target <> peer AND target % 2 = 0"), qg.relative(spark, d)), labels(spark, d)))
+    return scored(jobs.variant_scores(jobs.variant_factors(all_.where("target <> peer"), qg.relative(spark, d)), labels(spark, d)))
 
 
 _DAILY = f"WITH {DAILY_SQL}, {qg.PAIRS_SQL}, dl AS (SELECT dt, sym, unnest([1, 5]) AS k, unnest([close / nullif(lag(close, 1) OVER s, 0) - 1, close / nullif(lag(close, 5) OVER s, 0) - 1]) AS ret, lead(close) OVER s / nullif(close, 0) - 1 AS label FROM daily WINDOW s AS (PARTITION BY sym ORDER BY dt)), f AS (SELECT k, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM w JOIN dl ON dl.sym = w.peer WHERE ret IS NOT NULL AND target <> peer AND target % 20 = 0 GROUP BY 1, 2, 3 HAVING sum(w) > 1), z AS (SELECT k, dt, sym, (factor - avg(factor) OVER g) / nullif(stddev_samp(factor) OVER g, 0) AS z FROM f WINDOW g AS (PARTITION BY k, dt)), m AS (SELECT dt, sym, avg(z) AS c FROM z WHERE z IS NOT NULL GROUP BY 1, 2), x AS (SELECT dt, sym, c - avg(c) OVER (PARTITION BY dt) AS factor, dense_rank() OVER (ORDER BY dt) - 1 AS i FROM m)"
@@ -87,8 +87,8 @@ _DAILY = f"WITH {DAILY_SQL}, {qg.PAIRS_SQL}, dl AS (SELECT dt, sym, unnest([1, 5
 
 @query("x12_daily_pooled_composite", _DAILY + f" SELECT dt, sym, {rs('factor', 'factor')} FROM x WHERE i % 20 = 0")
 def x12(spark: SparkSession, d: str) -> DataFrame:
-    """Daily composite of two lookbacks, demeaned, on each 20th date, for a stated sub-universe of targets."""
-    w = qg.weights(spark, d).where("target <> peer AND target % 20 = 0")
+    """Daily composite of two lookbacks, demeaned, on each 20th date."""
+    w = qg.weights(spark, d).where("target <> peer")
     p = daily(spark, d)
     parts = [fa.peer_factor(w, p.select("dt", "sym", ret.lookback_return(n).alias("ret"))) for n in (1, 5)]
     c = fa.composite(*parts)

@@ -61,3 +61,18 @@ def test_report_and_result_json_carry_every_text(spark, queries, tmp_path):
     for name, text in (("s10_d11_report_json", "SELECT doc_id, lang AS form_type, text AS main FROM documents"), ("k6_result_json", "SELECT doc_id, lang, n_chars FROM documents")):
         df = queries[name](spark, D)
         assert spark_rows(df) == duck(text, df.columns), name
+
+
+@pytest.mark.parametrize(
+    ("name", "cut"),
+    [
+        ("a13_daily_factor", " AND target % 10 = 0"),
+        ("j20_month_keyed_weights", " AND target % 20 = 0"),
+        ("x12_daily_pooled_composite", " AND target % 20 = 0"),
+        ("x11_agentic_variants", " AND target % 2 = 0"),
+    ],
+)
+def test_factors_of_every_target(spark, queries, name, cut):
+    df = queries[name](spark, D)
+    got = spark_rows(df)
+    assert got and got == duck(whole(cut, name), df.columns)
