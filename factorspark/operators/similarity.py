@@ -6,12 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factorspark.functions import weights as W
 from factorspark.operators.xsection import ordinal_pct
 
 
 BLOCKS = 8
+SERIES_BLOCKS = 16
 
 
 def category_cosine(targets: DataFrame, peers: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -122,6 +124,66 @@ def correlation_edges(returns: DataFrame, min_overlap: int, peers: DataFrame | N
     return got.select(*by, "target", "peer", F.when(F.col("n") >= min_overlap, corr).alias("corr"), "n")
 
 
+def expanding_correlation_edges(returns: DataFrame, months: DataFrame, min_overlap: int, blocks: int = SERIES_BLOCKS) -> DataFrame:
+    """(month, target, peer, corr, n): ``correlation_edges`` of the returns up to each (month, upto), for all months in one pass.
+
+    Symbols are dealt into blocks. A task walks the dates of one pair of blocks once, keeps running means
+    and co-moments of all its pairs as matrices, and gives a row a pair with a shared date at each month.
+    Returns are unique by date and symbol; the calendar, one row a month, goes to the tasks.
+    """
+    from factorspark.functions.shipping import ship
+
+    ship(returns.sparkSession)
+    stops = sorted((np.datetime64(r["upto"]), r["month"]) for r in months.select("month", "upto").collect())
+    month, kind = months.schema["month"].dataType, returns.schema["sym"].dataType
+    out = pa.schema([("month", to_arrow_type(month)), ("target", to_arrow_type(kind)), ("peer", to_arrow_type(kind)), ("corr", pa.float64()), ("n", pa.int64())])
+    deal = F.pmod(F.hash("sym"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = returns.where("ret IS NOT NULL").select("dt", "sym", F.col("ret").cast("double").alias("ret"))
+    a = rows.select("*", deal.alias("i"), every.alias("j"))
+    b = rows.select(F.col("dt").alias("peer_dt"), F.col("sym").alias("peer"), F.col("ret").alias("peer_ret"), deal.alias("peer_j"), every.alias("peer_i"))
+
+    def side(t: pa.Table, dates: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        syms = t["sym"].combine_chunks().dictionary_encode()
+        at = (np.searchsorted(dates, t["dt"].to_numpy()), syms.indices.to_numpy(zero_copy_only=False))
+        x, known = np.zeros((len(dates), len(syms.dictionary))), np.zeros((len(dates), len(syms.dictionary)))
+        x[at], known[at] = t["ret"].to_numpy(), 1.0
+        return syms.dictionary, x, known
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        left, right = left.select(["dt", "sym", "ret"]), right.select(["peer_dt", "peer", "peer_ret"]).rename_columns(["dt", "sym", "ret"])
+        dates = np.intersect1d(left["dt"].to_numpy(), right["dt"].to_numpy())
+        left, right = (t.filter(pa.array(np.isin(t["dt"].to_numpy(), dates))) for t in (left, right))
+        (targets, x, kx), (peers, y, ky) = side(left, dates), side(right, dates)
+        n, mx, my, cxx, cyy, cxy = (np.zeros((len(targets), len(peers))) for _ in range(6))
+        parts, done = [], 0
+        for upto, name in stops:
+            while done < len(dates) and dates[done] <= upto:
+                both = np.outer(kx[done], ky[done])
+                n += both
+                share = both / np.maximum(n, 1.0)
+                dx, dy = x[done][:, None] - mx, y[done][None, :] - my
+                mx += dx * share
+                my += dy * share
+                rest = both * (y[done][None, :] - my)
+                cxx += both * dx * (x[done][:, None] - mx)
+                cyy += dy * rest
+                cxy += dx * rest
+                done += 1
+            i, j = np.nonzero(n)
+            if len(i):
+                m = n[i, j]
+                sx, sy = np.sqrt(cxx[i, j] / m), np.sqrt(cyy[i, j] / m)
+                moves = (sx > 1e-14) & (sy > 1e-14)
+                corr = np.divide(cxy[i, j] / m, sx * sy, out=np.zeros(len(i)), where=moves)
+                parts.append(pa.table([pa.repeat(pa.scalar(name, out.field("month").type), len(i)), targets.take(pa.array(i)), peers.take(pa.array(j)), pa.array(corr, mask=m < min_overlap), pa.array(m.astype("int64"))], schema=out))
+        return pa.concat_tables(parts) if parts else out.empty_table()
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("peer_i", "peer_j")).applyInArrow(walk, f"month {month.simpleString()}, target {kind.simpleString()}, peer {kind.simpleString()}, corr double, n long")
+
+
 def whiten(vectors: DataFrame, k: int, key: str = "sym", emb: str = "emb") -> DataFrame:
     """(key, z): whitened coordinates sqrt(n) * U[:, :k] of the centred vectors, from one distributed SVD."""
     from pyspark.ml.feature import StandardScaler

@@ -60,13 +60,12 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k2_s9_correlation_cache", f"WITH {fx.PANEL_SQL}, {qg._MRET} SELECT a.sym AS target, b.sym AS peer, {rs(qg._PAIR_CORR.format(m=24), 'corr')} FROM mret a JOIN mret b ON a.dt = b.dt WHERE a.sym <= 30 AND b.sym <= 30 AND a.dt <= DATE '1999-06-01' GROUP BY 1, 2")
 def k2c(spark: SparkSession, d: str) -> DataFrame:
-    """Correlations of two month ends in a stated universe, stored by month; one month is read."""
-    from factorspark.operators.similarity import correlation_edges
+    """Correlations of all symbols at every month end, stored by month; one month is read."""
+    from factorspark.operators.similarity import expanding_correlation_edges
 
     path = scratch(spark, "correlation")
-    rows = qg.monthly_returns(spark, d).where("sym <= 30")
-    for end in ("1998-06-01", "1999-06-01"):
-        ps.save_edges(correlation_edges(rows.where(F.col("dt") <= end), 24).withColumn("month", F.lit(end[:7])), path, "month")
+    months = fx.panel(spark, d).select(F.date_format("dt", "yyyy-MM").alias("month"), F.col("dt").alias("upto")).distinct()
+    ps.save_edges(expanding_correlation_edges(qg.monthly_returns(spark, d), months, 24), path, "month")
     return ps.load_edges(spark, path, month="1999-06").select("target", "peer", r("corr", "corr"))
 
 

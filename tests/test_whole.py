@@ -76,3 +76,31 @@ def test_factors_of_every_target(spark, queries, name, cut):
     df = queries[name](spark, D)
     got = spark_rows(df)
     assert got and got == duck(whole(cut, name), df.columns)
+
+
+def test_correlations_of_every_symbol_and_month(spark, queries, tmp_path):
+    for name, cuts in (("a19_j21_monthly_correlation_weights", (" WHERE year(dt) = 2000", " AND sym <= 20")), ("k2_s9_correlation_cache", ("a.sym <= 30 AND b.sym <= 30 AND ",))):
+        text = whole(cuts[0], name)
+        for cut in cuts[1:]:
+            assert cut in text
+            text = text.replace(cut, "")
+        df = queries[name](spark, "/root/testdata/sf0.01")
+        got = spark_rows(df)
+        assert got and got == duck(text, df.columns, "/root/testdata/sf0.01"), name
+
+
+def test_expanding_correlations_agree_with_edges(spark):
+    import datetime as dt
+    import random
+
+    from factorspark.operators.similarity import correlation_edges, expanding_correlation_edges
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    days = [dt.date(2000, m, 1) for m in range(1, 11)]
+    rows = spark.createDataFrame([(d, s, 0.1 if s == 3 else rng.gauss(0, 1)) for d in days for s in range(9) if rng.random() < 0.7] + [(days[0], 99, None)], "dt date, sym long, ret double").cache()
+    months = spark.createDataFrame([(f"m{k}", d) for k, d in enumerate(days)], "month string, upto date")
+    got = {(r.month, r.target, r.peer): (r.n, r.corr) for r in expanding_correlation_edges(rows, months, 3, 4).collect()}
+    want = {(f"m{k}", r.target, r.peer): (r.n, r.corr) for k, d in enumerate(days) for r in correlation_edges(rows.where(F.col("dt") <= d), 3).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == (n, None if c is None else pytest.approx(c, abs=1e-9)) for k, (n, c) in want.items())
