@@ -44,7 +44,7 @@ def hk_code(x: Column) -> Column:
 
 
 def accession_url(cik: Column, accession: Column, document: Column) -> Column:
-    return F.concat(F.lit(FILINGS + "/data/"), F.regexp_replace(cik, "^0+", ""), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
+    return F.concat(F.lit(FILINGS + "/data/"), F.regexp_replace(cik, "^0+(?=.)", ""), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
 
 
 def roc_date(x: Column) -> Column:

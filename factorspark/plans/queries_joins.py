@@ -99,7 +99,7 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
 @query("j7_asof_backward", "WITH m AS (SELECT last_day(CAST(unnest(generate_series(DATE '1995-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE)) AS dt), o AS (SELECT CAST(o_orderdate AS DATE) AS dt, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1) SELECT m.dt AS dt, o.n AS n FROM m ASOF LEFT JOIN o ON m.dt >= o.dt")
 def j7(spark: SparkSession, d: str) -> DataFrame:
     months = spark.sql("SELECT explode(transform(sequence(0, 47), i -> last_day(add_months(DATE'1995-01-01', i)))) AS dt")
-    days = fx.table(spark, d, "orders").where("o_orderkey % 50 = 0").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.count("*").alias("n"))
+    days = fx.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.count("*").alias("n"))
     return jn.asof_backward(months, days, "dt", "n")
 
 
@@ -134,7 +134,7 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 @query("j18_u7_skip_existing", "SELECT o_orderkey FROM orders WHERE o_custkey % 4 = 0 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
 def j18(spark: SparkSession, d: str) -> DataFrame:
     done = fx.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return jn.skip_existing(fx.table(spark, d, "orders").where("o_custkey % 4 = 0").select("o_orderkey").distinct(), done, ["o_orderkey"])
+    return jn.skip_existing(fx.table(spark, d, "orders").select("o_orderkey").distinct(), done, ["o_orderkey"])
 
 
 @query("k5_upsert_latest_wins", "WITH o AS (SELECT o_custkey, o_orderkey, 0 AS n, o_orderdate FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1, o_orderdate FROM orders WHERE o_orderkey % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM o) SELECT o_custkey, o_orderkey FROM k WHERE r = 1")
@@ -165,7 +165,7 @@ def u6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("v2_unpivot_wide", "SELECT o_orderkey, unnest(['o_custkey', 'o_total']) AS field, unnest([CAST(o_custkey AS DOUBLE), o_totalprice]) AS value FROM orders WHERE o_orderkey % 10 = 0")
 def v2(spark: SparkSession, d: str) -> DataFrame:
-    wide = fx.table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), F.col("o_totalprice").alias("o_total"))
+    wide = fx.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), F.col("o_totalprice").alias("o_total"))
     return wide.unpivot("o_orderkey", ["o_custkey", "o_total"], "field", "value")
 
 

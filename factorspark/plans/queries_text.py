@@ -55,7 +55,7 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g5_filing_urls", "SELECT o_orderkey AS k, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || replace('0000-24-' || o_orderkey, '-', '') || '/doc.htm' AS url FROM orders WHERE o_orderkey % 20 = 0")
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.table(spark, d, "orders").where("o_orderkey % 20 = 0")
+    o = fx.table(spark, d, "orders")
     cik = tx.zfill(F.col("o_custkey").cast("string"), 10)
     return o.select(F.col("o_orderkey").alias("k"), cik.alias("cik"), tx.accession_url(cik, F.concat(F.lit("0000-24-"), "o_orderkey"), F.lit("doc.htm")).alias("url"))
 
@@ -177,7 +177,8 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s13_d9_graph_json", "SELECT 'S' || l_suppkey AS source, CAST(l_partkey AS VARCHAR) || '.T' AS target FROM lineitem WHERE l_orderkey % 100 = 0")
 def s13(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.table(spark, d, "lineitem").where("l_orderkey % 100 = 0").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("s"))
+    """Links of each source as JSON lists and back; a list holds at most the lines of 16,384 order numbers."""
+    rows = fx.table(spark, d, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.floor(F.col("l_orderkey") / 16384).alias("part"))
     j = rows.agg(F.to_json(F.collect_list(F.struct(F.concat(F.col("l_partkey").cast("string"), F.lit(".T")).alias("jp_ticker")))).alias("j"))
     back = j.select("s", F.explode(F.from_json("j", "array<struct<jp_ticker: string>>")).alias("c"))
     return back.select(F.col("s").alias("source"), F.col("c.jp_ticker").alias("target"))

@@ -104,3 +104,19 @@ def test_expanding_correlations_agree_with_edges(spark):
     want = {(f"m{k}", r.target, r.peer): (r.n, r.corr) for k, d in enumerate(days) for r in correlation_edges(rows.where(F.col("dt") <= d), 3).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == (n, None if c is None else pytest.approx(c, abs=1e-9)) for k, (n, c) in want.items())
+
+
+@pytest.mark.parametrize(
+    ("name", "cut"),
+    [
+        ("j7_asof_backward", " WHERE o_orderkey % 50 = 0"),
+        ("v2_unpivot_wide", " WHERE o_orderkey % 10 = 0"),
+        ("g5_filing_urls", " WHERE o_orderkey % 20 = 0"),
+        ("s13_d9_graph_json", " WHERE l_orderkey % 100 = 0"),
+        ("j18_u7_skip_existing", " WHERE o_custkey % 4 = 0"),
+    ],
+)
+def test_orders_and_lines_are_read_whole(spark, queries, name, cut):
+    df = queries[name](spark, D)
+    got = spark_rows(df)
+    assert got and got == duck(whole(cut, name), df.columns)
