@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and its place in the shard."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return sharding.assign(docs, keep=rest)
+    return sharding.assign(docs, keep=rest, map_path=runtime.new_dir(spark, "slot-map"))
 
 
 STAGES = [

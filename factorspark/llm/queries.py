@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.functions.shipping import ship
-from factorspark.llm import decontam, htmltext, mixing, quality, sharding, simhash, tokencount, toxicity, urlfilter, warc
+from factorspark.llm import decontam, htmltext, mixing, quality, runtime, sharding, simhash, tokencount, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and place of every document under the law of near equal bytes."""
-    return sharding.assign(_read(spark, sf_dir, "documents"))
+    """Shard and place of every document under the law of near equal bytes; the map is stored and read."""
+    return sharding.assign(_read(spark, sf_dir, "documents"), map_path=runtime.new_dir(spark, "slot-map"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,23 @@ def test_empty_table(docs_of):
 def test_plan_is_native(docs_of):
     plan = sd.assign(docs_of(texts(50)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_an_older_map_keeps_every_row(spark, docs_of, tmp_path):
+    old, path = docs_of(texts(100)), str(tmp_path / "map")
+    sd.assign(old, map_path=path).count()
+    one = sd.load_map(spark, path)
+    assert one.count() == sd.SLOTS and max(r["count"] for r in one.groupBy("shard").count().collect()) < 2 * sd.SLOTS / sd.SHARDS
+    new = docs_of([(k + 1000, t) for k, t in enumerate(texts(500))])
+    weights = sd.slot_bytes(sd.sized(new))
+    sd.store_map(sd.rebalance(one, weights, 25), path)
+    two = sd.load_map(spark, path)
+    part = one.join(sd.sized(old).select("virtual_slot").distinct(), "virtual_slot", "left_semi")
+    for m, version in ((one, 1), (two, 2), (part, 1), (sd.rebalance(part, weights, 25), 2)):
+        got = sd.assign(new, slot_map=m).collect()
+        assert len(got) == 500 and {r.map_version for r in got} == {version}
+        at, places = {r.virtual_slot: r.shard for r in m.collect()}, defaultdict(list)
+        for r in got:
+            assert at.get(r.virtual_slot, r.shard) == r.shard
+            places[r.shard].append(r.slot)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
