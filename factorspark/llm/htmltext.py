@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript textarea title iframe svg math object canvas noembed noframes xmp".split())
+_RAW = frozenset("script style template textarea title iframe svg annotation canvas noembed noframes xmp".split())
 _HIDDEN = frozenset("head select option optgroup button datalist input label".split())
 _TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAMING = frozenset("class id role itemprop".split())
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _HINT = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -66,9 +68,9 @@ def _hints(attrs: str) -> frozenset[str]:
     for m in _ATTRIBUTE.finditer(attrs):
         value = (m[2] or m[3] or m[4] or "").lower()
         name = m[1].lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NO_DISPLAY.search(value)):
             found.add("hidden")
-        elif name != "style":
+        elif name in _NAMING:
             found.update(_HINT_OF[w] for w in _HINT.findall(value) if w in _HINT_OF)
     return frozenset(found)
 

@@ -73,3 +73,23 @@ def test_table(spark, model):
     assert by[1].text == by[2].text == "" and by[None].text == "Text of it."
     assert by[5].text.count("\n") == 19_999
     assert ht.extract_table(df.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a <a href="/en/hidden-gems">link text</a> b</p>', ["a link text b"]),
+        ('<p title="The hidden valley">t</p>', ["t"]),
+        ("<article data-hidden='false' data-id=hidden><p>whole</p></article>", ["whole"]),
+        ('<p title="x style=\'display:none\' hidden">t</p><p data-x="aria-hidden=true">u</p>', ["t", "u"]),
+        ("<p class='a hidden-xs' ID=hidden>t</p>", ["t"]),
+        ('<p class="x"hidden>no</p><p HIDDEN="">no</p><p style="color:red; Display : none">no</p><p aria-hidden="true">no</p>yes', ["yes"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><noscript><p>c</p></noscript><object data=x><p>d</p></object>e", ["a x=1 b", "c", "d", "e"]),
+    ],
+)
+def test_attributes_are_read_one_by_one(page, want):
+    assert lines(page) == want
+
+
+def test_names_give_hints_and_values_do_not():
+    assert ht._hints(' data-class="ad" title="class=sidebar" CLASS = "nav x" id=footer') == {"nav", "foot"}
