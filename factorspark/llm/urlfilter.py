@@ -1,9 +1,9 @@
 """URL filters: stated rules first, then association rules mined from labels.
 
-A URL's tokens name its host, each of its parent domains, its first path part, extension, query keys,
+A URL's tokens name its host, each of its parent domains, its path parts, extension, query keys,
 fragment and scheme. Spark's FP-growth mines sets of tokens, with the label as one more token, on
 labelled URLs; a set with at least ``SUPPORT`` bad URLs and ``CONFIDENCE`` bad ones among all that have
-it becomes a block rule unless a subset of it does as well. Rules are matched through an inverted index
+it becomes a block rule unless a smaller rule in it is about as sure; no other rule is left out. Rules are matched through an inverted index
 from token to rules: a rule fires when as many of its tokens are found as it has. Stated rules (host
 and path prefix, longest first) decide before mined ones; what no rule names is allowed.
 
@@ -26,7 +26,6 @@ SAMPLE = 20000
 SUPPORT = 20
 CONFIDENCE = 0.6
 WIDEST = 4
-RULES = 2000
 STATED = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _BAD = "label=bad"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,8 +51,7 @@ def tokens(url: str | None) -> list[str]:
     found = {f"host={'.'.join(labels[k:])}" for k in range(len(labels))}
     found |= {f"sub={labels[0]}"} if len(labels) > 2 else set()
     parts = [p for p in path.split("/") if p]
-    if parts and not parts[0].isdigit():
-        found.add(f"path={parts[0]}")
+    found |= {f"path={p}" for p in parts if not p.partition(".")[0].isdigit()}
     if parts and "." in parts[-1]:
         found.add(f"ext={parts[-1].rsplit('.', 1)[1]}")
     if path.endswith("/"):
@@ -92,10 +90,10 @@ class Rules:
         return host, path, None, "allow" if fired is None else "block", fired
 
 
-def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE, widest: int = WIDEST, limit: int = RULES) -> list[tuple[frozenset[str], float, int]]:
+def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE, widest: int = WIDEST) -> list[tuple[frozenset[str], float, int]]:
     """(tokens, confidence, bad URLs) rules from (url, bad) rows, best first.
 
-    At most ``sample`` labelled URLs are used, the least by a hash; at most ``limit`` rules are kept.
+    At most ``sample`` labelled URLs are used, the least by a hash, which bounds the number of rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -116,18 +114,30 @@ def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     sets = sets.select(key.alias("key"), F.array_contains("items", _BAD).alias("bad"), "freq").where("key != ''")
     rated = sets.groupBy("key").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("bad"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("n"))
     rated = rated.where((F.col("bad") >= support) & (F.col("bad") >= confidence * F.col("n")))
-    best = rated.select("key", (F.col("bad") / F.col("n")).alias("confidence"), "bad").orderBy(F.length("key"), F.desc("confidence"), F.desc("bad"), "key").limit(limit).collect()
-    kept: list[tuple[frozenset[str], float, int]] = []
-    for r in sorted(best, key=lambda r: (r["key"].count("\n"), r["key"])):
-        items = frozenset(r["key"].split("\n"))
-        if not any(k <= items and c >= r["confidence"] - 0.05 for k, c, _ in kept):
-            kept.append((items, float(r["confidence"]), int(r["bad"])))
+    rated = rated.select(F.split("key", "\n").alias("items"), "key", (F.col("bad") / F.col("n")).alias("confidence"), "bad").cache()
+    kept = _minimal(rated, widest)
+    rated.unpersist()
     return sorted(kept, key=lambda r: (-r[1], -r[2], sorted(r[0])))
 
 
+def _minimal(rated: DataFrame, widest: int) -> list[tuple[frozenset[str], float, int]]:
+    """Sets (items, key, confidence, bad) of which no kept smaller set is as sure but for 0.05, found size by size."""
+    kept: list[tuple[frozenset[str], float, int]] = []
+    for size in range(1, widest + 1):
+        level = rated.where(F.size("items") == size)
+        if kept:
+            rules = rated.sparkSession.createDataFrame([("\n".join(sorted(k)), c) for k, c, _ in kept], "rule string, least double")
+            inner = [[k for k in range(size) if m >> k & 1] for m in range(1, 2**size - 1)]
+            below = F.array(*[F.array_join(F.array(*[F.col("items")[k] for k in places]), "\n") for places in inner])
+            covered = level.select("key", "confidence", F.explode(below).alias("rule")).join(rules, "rule").where("least >= confidence - 0.05")
+            level = level.join(covered.select("key").distinct(), "key", "left_anti")
+        kept += [(frozenset(r["items"]), float(r["confidence"]), int(r["bad"])) for r in level.select("items", "confidence", "bad").collect()]
+    return kept
+
+
 def judge_table(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule) per row."""
-    shared = pages.sparkSession.sparkContext.broadcast(rules)  # at most RULES mined rules
+    shared = pages.sparkSession.sparkContext.broadcast(rules)  # as many as SAMPLE URLs allow
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,3 +75,33 @@ def test_table_and_labels(spark):
     labels = spark.createDataFrame([(7, 0, 0), (8, 1, 0), (8, 1, None)], "doc_id long, quality int, toxic int")
     assert sorted((r.url[:12], r.bad) for r in uf.labelled_urls(df, labels).collect()) == [("http://a.net", 1), ("http://a.net", 1), ("http://b.org", 0)]
     assert uf.judge_table(df.where("false"), uf.Rules()).count() == 0
+
+
+def test_many_bad_hosts_are_all_blocked(spark):
+    rows = [(f"http://www.some-long-spam-host-name-{h}.example.com/en/{k}.php?id={k}&ref=1", 1) for h in range(80) for k in range(20)]
+    rows += [(f"http://www.good.example.com/en/{k}.php?id={k}&ref=1", 0) for k in range(3000)]
+    rules = uf.Rules(stated=(), mined=uf.mine(spark.createDataFrame(rows, "url string, bad int")))
+    assert all(rules.judge(f"http://m.some-long-spam-host-name-{h}.example.com/x")[3] == "block" for h in range(80))
+    assert rules.judge("http://www.good.example.com/en/1.php?id=1&ref=1")[3] == "allow"
+    assert all(len(items) == 1 for items, *_ in rules.mined)
+
+
+def test_deeper_path_parts_are_mined(spark):
+    rows = [(f"http://a.com/en/{('casino', 'news')[k % 2]}/{k}", 1 - k % 2) for k in range(400)]
+    rules = uf.Rules(stated=(), mined=uf.mine(spark.createDataFrame(rows, "url string, bad int")))
+    assert rules.judge("http://b.org/de/x/casino/9")[3] == "block" and rules.judge("http://a.com/en/news/9")[3] == "allow"
+
+
+def test_kept_sets_agree_with_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    sets = [(sorted(s), round(rng.uniform(0.6, 1), 3), 20) for n in range(1, 5) for s in itertools.combinations("abcdef", n) if rng.random() < 0.7]
+    want = []
+    for items, c, n in sets:
+        if not any(k <= set(items) and least >= c - 0.05 for k, least, _ in want):
+            want.append((frozenset(items), c, n))
+    df = spark.createDataFrame([(i, "\n".join(i), c, n) for i, c, n in sets], "items array<string>, key string, confidence double, bad long")
+    got = uf._minimal(df, 4)
+    assert sorted(map(repr, ((sorted(k), c, n) for k, c, n in got))) == sorted(map(repr, ((sorted(k), c, n) for k, c, n in want)))
