@@ -14,19 +14,33 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach; a local one only where none is configured."""
+    """The folder that every executor can reach; a local one only for a local master without a setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factorspark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/factorspark/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; Hadoop's file system deletes it when the session's JVM ends."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factorspark/{what}-{uuid.uuid4().hex}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+    fs.deleteOnExit(root)
+    return f"{root.toString()}/rows"
+
+
+def arrow_uri(path: str) -> str:
+    """A path as the URI that pyarrow's file systems know: local paths get a scheme, s3a and s3n become s3."""
+    scheme, mark, rest = path.partition("://")
+    if mark:
+        return f"s3://{rest}" if scheme in ("s3a", "s3n") else path
+    return f"file://{path[5:] if path.startswith('file:') else path}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,3 +71,21 @@ def trim() -> None:
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's columns, never null; joins add a null-safe test of the id itself."""
     return F.xxhash64(*cols)
+
+
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows with the facts of their key; ``facts`` has one row a key, whose ``weight`` is its number of rows.
+
+    Keys with more than one in ``HOT`` of all rows, hence fewer than ``HOT`` keys whatever the input, are
+    broadcast and their rows stay in their partitions; all other keys meet by an exchange.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT > total
+    hot, cold = facts.where(is_hot).drop(weight), facts.where(~is_hot).drop(weight)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

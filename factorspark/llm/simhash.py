@@ -1,10 +1,11 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints within four bits share at least four
-of them, hence at least three of any seven: the index therefore posts each distinct fingerprint under
-all 35 triples of its first seven positional bytes. Inside a posting the shared positional bytes of a
-pair are tallied, pairs under the guaranteed four are dropped, and the rest are verified by their
-differing bits. A posting of over ``POSTING`` members is posted again under sextuples of the nibbles
+of them, the guaranteed minimum. Postings by single bytes would bring N^2 / 512 pairs together, so this
+is a variant of that index: since four shared bytes of eight are at least three of any seven, each
+distinct fingerprint is posted under all 35 triples of its first seven positional bytes, which loses no
+pair. Where two meet, all their shared positional bytes are tallied, pairs under the guaranteed four are
+dropped, and the rest are verified by their differing bits. A posting of over ``POSTING`` members is posted again under sextuples of the nibbles
 left free, after which only 16 bits are free and a list has at most 65,536 members whatever the input.
 Each list gives the edges of a spanning forest, never all its pairs, which loses no component.
 
@@ -21,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm.graph import components
-from factorspark.llm.runtime import cut, row_key
+from factorspark.llm.runtime import cut, hot_join, row_key
 from factorspark.llm.textvec import PIECE, Pair, buffers
 
 WIDTH = 4
@@ -224,28 +225,33 @@ def links(nodes: DataFrame, bits: int = BITS, posting: int = POSTING) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, key, fp, label, component_id) per row; label is the component's least fingerprint."""
+    """(doc_id, key, fp, label, component_id) per row; label is the component's least fingerprint.
+
+    Names go from components to fingerprints and on to rows; a component or fingerprint that holds a large
+    share of them is broadcast, so its members are never dealt to one task.
+    """
     rows = cut(fingerprints(docs, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = cut(nodes)
-    labels = components(links(nodes.select("fp"), bits)).withColumnsRenamed({"node": "fp"})
-    named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "rep")
-    named = cut(named)
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = cut(named.select("fp", "label").join(least, "label"))
-    return rows.join(named, "fp").select("doc_id", "key", "fp", "label", "component_id")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    labels = cut(components(links(nodes.select("fp"), bits)).withColumnsRenamed({"node": "fp"}))
+    linked = cut(nodes.join(labels, "fp"))
+    groups = cut(linked.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("m")))
+    named = hot_join(linked, groups, "label", "m").select("fp", "n", "label", "component_id")
+    alone = nodes.join(labels, "fp", "left_anti").select("fp", "n", F.col("fp").alias("label"), F.col("rep").alias("component_id"))
+    facts = cut(named.unionByName(alone))
+    return hot_join(rows, facts, "fp", "n").select("doc_id", "key", "fp", "label", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """One row of each component stays: the least id, a row without id only where no other has one.
 
     Rows are matched by their 64-bit key of id and text and by the id itself, so repeats of one id with
-    other texts are told apart and repeated rows fall to one.
+    other texts are told apart. Rows equal in both fall to one, which one is open, first in their own
+    partitions; whole rows travel in one struct, whatever their columns are called.
     """
     found = near_duplicates(docs, id_col, text_col, bits)
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-    best = best.select(F.col("best.key").alias("__key"), F.col("best.doc_id").alias("__id"))
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    kept = keyed.join(best, (F.col("__row") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row", id_col).orderBy("__row"))
-    return kept.withColumn("__n", first).where("__n = 1").drop("__n", "__row")
+    best = best.select("best.key", "best.none", F.coalesce("best.doc_id", F.lit(0)).alias("id"))
+    own = F.col(id_col).cast("long")
+    packed = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"))
+    once = packed.groupBy("key", "none", "id").agg(F.first("row").alias("row"))
+    return once.join(best, ["key", "none", "id"], "left_semi").select("row.*")
