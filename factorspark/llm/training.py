@@ -13,26 +13,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Colum
     """(id, label, whole text) of labelled documents, taken in the order of a hash of the id.
 
     At most ``rows`` rows and ``size`` bytes of text are taken, a bound that does not grow with the
-    corpus; a text that would go over the bound is left out. Rows without id or label teach nothing; an
-    id's label is its greatest; equal rows of one id count once. ``where`` is a condition on the labels.
+    corpus; a text that would go over the bound is left out. Only labels of documents at hand count
+    towards it. Rows without id or label teach nothing; an id's label is its greatest, its text the
+    shortest and then the least. ``where`` is a condition on the labels.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         known = known.where(where)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    first = known.orderBy(F.xxhash64("id"), "id").limit(2 * rows)
     heads = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
-    sizes = heads.join(F.broadcast(first), "id").orderBy(F.xxhash64("id"), "id", "n").limit(rows).collect()
-    left, ids = size, {}
-    for r in sizes:
-        if r["n"] <= left and r["id"] not in ids:
+    heads = heads.where("id IS NOT NULL").groupBy("id").agg(F.min("n").alias("n"))
+    left, chosen = size, []
+    for r in known.join(heads, "id").orderBy(F.xxhash64("id"), "id").limit(rows).collect():
+        if r["n"] <= left:
             left -= r["n"]
-            ids[r["id"]] = (r["y"], r["n"])
-    if not ids:
+            chosen.append((r["id"], r["y"], r["n"]))
+    if not chosen:
         return []
-    chosen = docs.sparkSession.createDataFrame([(k, *v) for k, v in sorted(ids.items())], "id long, y int, n int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("n"))
-    return sorted({(r["id"], r["y"], r["text"]) for r in texts.select("id", "y", "text").collect()})
+    few = docs.sparkSession.createDataFrame(sorted(chosen), "id long, y int, n int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "id").where(F.octet_length("text") == F.col("n"))
+    found = texts.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    return sorted((r["id"], r["y"], r["text"]) for r in found)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
