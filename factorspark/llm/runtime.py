@@ -73,6 +73,12 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def whole_key(df: DataFrame) -> Column:
+    """A 64-bit key of all columns of a row; maps, which have no hash, count by their JSON text."""
+    cols = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(cols, df.schema, strict=True)])
+
+
 HOT = 1000
 
 
