@@ -7,9 +7,12 @@ slots to new or light shards, all other slots stay where they are. Each virtual
 for numbering rows, so a row's place in its shard is a prefix sum over at most SLOTS x FINE counts plus
 a count inside one part; no shard's rows ever meet in one task.
 
+Equal texts are no unit: copies under other ids have slots of their own, so that a large group of them is
+spread over all shards. Rows equal in id and text are one record and share its slot.
+
 Defined cases: a null text has 8 bytes and checksum 0; a null id hashes by its text's checksum and size;
 copies and repeated rows get places of their own; an empty table gives none; extra columns are ignored
-unless asked for.
+unless asked for, and a kept one that has the name of a result is called ``<name>_in``.
 """
 
 from __future__ import annotations
@@ -22,16 +25,37 @@ from factorspark.llm.runtime import cut
 SLOTS = 4096
 FINE = 64
 SHARDS = 24
+MAP = "virtual_slot long, shard int, version int"
+
+
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, text_crc32, part, virtual_slot, kept columns) per row."""
+    """(doc_id, size, text_crc32, part, virtual_slot and, if any column is kept, kept) per row; kept is a struct."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), *keep)
+    kept = [F.struct(*[_column(c) for c in keep]).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), *kept)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots * FINE)))
     return rows.withColumn("virtual_slot", F.floor(F.col("part") / FINE))
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _out(keep: tuple[str, ...]) -> list[Column]:
+    """Kept columns out of their struct, renamed where a result or another kept column has the name."""
+    taken, out = {*RESULT, *keep}, []
+    for c in keep:
+        name = c
+        while name in RESULT or (name != c and name in taken):
+            name += "_in"
+        taken.add(name)
+        out.append(F.col("kept")[c].alias(name))
+    return out
+
+
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(virtual_slot, bytes, rows): what each virtual slot weighs; a slot without rows weighs nothing."""
     got = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -82,13 +106,25 @@ def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int) -> DataFrame
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
-    """Adds one version of the map to the table at ``path``; a version once stored isn't overwritten."""
+    """Adds one version of the map to the table at ``path``; a version that is stored there is refused."""
+    slot_map = cut(slot_map)
+    new = {r["version"] for r in slot_map.select("version").distinct().collect()}
+    if stored := new & stored_versions(slot_map.sparkSession, path):
+        raise ValueError(f"version {min(stored)} of the map is stored already")
     slot_map.coalesce(1).write.partitionBy("version").mode("append").parquet(path)
 
 
+def stored_versions(spark: SparkSession, path: str) -> set[int]:
+    """Versions of the map at ``path``; none where nothing is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return set()
+    return {r["version"] for r in spark.read.schema(MAP).parquet(path).select("version").distinct().collect()}
+
+
 def load_map(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of the map stored at ``path``."""
-    every = spark.read.schema("virtual_slot long, shard int, version int").parquet(path)
+    every = spark.read.schema(MAP).parquet(path)
     return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").select("virtual_slot", "shard", "version")
 
 
@@ -103,24 +139,25 @@ def complete(slot_map: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> D
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, keep: tuple[str, ...] = (), slot_map: DataFrame | None = None, map_path: str | None = None) -> DataFrame:
     """Shard and place of every row under the ``bytes`` law; kept columns are passed on.
 
-    ``slot_map`` is one version of a map, also one of other rows; without it a first map is made, which is
-    stored at ``map_path`` and read from there if a path is given.
+    ``slot_map`` is one version of a map, also one of other rows. Without it the newest map stored at
+    ``map_path`` holds; where none is stored, a first map is made, stored there if a path is given, and read.
 
     (doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version, kept columns)
     """
+    spark = docs.sparkSession
     rows = sized(docs, id_col, text_col, slots, keep)
     if not keep:
         rows = cut(rows)
     parts = cut(rows.groupBy("part", "virtual_slot").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
-    if slot_map is None:
+    if slot_map is None and map_path is not None:
+        if not stored_versions(spark, map_path):
+            store_map(first_map(parts.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")), shards, slots), map_path)
+        slot_map = load_map(spark, map_path)
+    elif slot_map is None:
         slot_map = first_map(parts.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")), shards, slots)
-        if map_path is not None:
-            store_map(slot_map, map_path)
-            slot_map = load_map(docs.sparkSession, map_path)
-    else:
-        slot_map = complete(slot_map, shards, slots)
+    slot_map = complete(slot_map, shards, slots)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = parts.join(slot_map, "virtual_slot").select(F.col("part").alias("__part"), "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size"))
     out = rows.withColumn("__nth", nth).join(places, F.col("part") == F.col("__part"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__before") + F.col("__nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", *keep)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__before") + F.col("__nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", *_out(keep))
