@@ -11,7 +11,8 @@ only. Readers stream the archives of the manifest member by member and never hol
 
 Defined cases: a null or empty payload has no bytes and is a response record; a null URL is written as
 ``urn:null``; equal payloads of under ``SMALLEST`` bytes are all responses; repeated ids and repeated rows
-are written and read each in turn; columns besides id, URL and payload are ignored.
+are written and read each in turn, under names of their own (the nth record of an id and payload), and a
+revisit refers to the first; columns besides id, URL and payload are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.runtime import cut, new_dir
+from factorspark.llm.runtime import HOT, arrow_uri, cut, new_dir
 
 CHUNK = 256 << 10
 SMALLEST = 1000
@@ -34,8 +35,12 @@ ARCHIVE = 64 << 20
 CHUNKS = "record_id long, url string, payload_sha1 string, seq long, chunk_no long, data binary, sha1 string, last boolean"
 
 
-def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK) -> DataFrame:
-    """(record_id, url, payload_sha1, seq, chunk_no, data, sha1 so far, last) rows; seq tells repeated rows apart."""
+def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK, bare: dict[str, int] | None = None) -> DataFrame:
+    """(record_id, url, payload_sha1, seq, chunk_no, data, sha1 so far, last) rows; seq tells repeated rows apart.
+
+    ``bare`` gives the response's id of payloads that very many records share: of these only the response
+    has its bytes cut into rows, any other a single row without data that ends with the payload's digest.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
@@ -45,6 +50,9 @@ def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
             for *own, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 buf = payload.as_buffer()
                 view = memoryview(buf) if buf is not None else memoryview(b"")
+                if bare and own[2] in bare and own[0] != bare[own[2]]:
+                    rows.append((*own, 0, b"", own[2], True))
+                    continue
                 sha = hashlib.sha1()
                 for k in range(max(1, -(-len(view) // size))):
                     part = bytes(view[k * size : (k + 1) * size])
@@ -71,8 +79,9 @@ def originals(pages: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     return own.join(shared, "sha1", "left").select("record_id", "payload_bytes", "sha1", first.alias("refers_to"))
 
 
-def _uuid(record_id: object, part: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{record_id}/{part}')}>"
+def _uuid(record_id: object, sha1: str, nth: int = 0, part: int = 0) -> str:
+    """Name of a part of the nth record with this id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{record_id}/{sha1}/{nth}/{part}')}>"
 
 
 def _member(headers: list[tuple[str, object]], body: bytes, level: int) -> bytes:
@@ -94,12 +103,16 @@ def write(rows: DataFrame, path: str, size: int = ARCHIVE, level: int = 1) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
         out, name, records, count = None, "", 0, 0
+        own, nth = None, 0
         for batch in batches:
             for r in batch.select(["record_id", "url", "chunk_no", "last", "payload_bytes", "payload_sha1", "refers_to"]).to_pylist():
                 r["data"] = batch.column("data")[count].as_buffer() if r["refers_to"] is None else b""
                 count += 1
                 if r["refers_to"] is not None and r["chunk_no"]:
                     continue
+                if not r["chunk_no"]:
+                    nth = nth + 1 if own == (r["record_id"], r["payload_sha1"]) else 0
+                    own = (r["record_id"], r["payload_sha1"])
                 if out is not None and out.tell() >= size and not r["chunk_no"]:
                     out.close()
                     yield pa.RecordBatch.from_pylist([{"path": name, "records": records, "bytes": fs.get_file_info(name).size}])
@@ -110,15 +123,15 @@ def write(rows: DataFrame, path: str, size: int = ARCHIVE, level: int = 1) -> Da
                     out = fs.open_output_stream(name, compression=None)
                 first, whole = r["chunk_no"] == 0, r["last"] and r["chunk_no"] == 0
                 kind = "revisit" if r["refers_to"] is not None else "response" if first else "continuation"
-                head = [("WARC-Type", kind), ("WARC-Record-ID", _uuid(r["record_id"], r["chunk_no"])), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _clean(r["url"])), ("X-Record", r["record_id"])]
+                head = [("WARC-Type", kind), ("WARC-Record-ID", _uuid(*own, nth, r["chunk_no"])), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _clean(r["url"])), ("X-Record", r["record_id"])]
                 if first:
                     head += [("WARC-Payload-Digest", f"sha1:{r['payload_sha1']}"), ("X-Payload-Length", r["payload_bytes"]), ("Content-Type", "text/html")]
                 if kind == "revisit":
-                    head += [("WARC-Refers-To", _uuid(r["refers_to"])), ("X-Refers-To", r["refers_to"]), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+                    head += [("WARC-Refers-To", _uuid(r["refers_to"], r["payload_sha1"])), ("X-Refers-To", r["refers_to"]), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
                 elif not whole:
                     head.append(("WARC-Segment-Number", r["chunk_no"] + 1))
                     if not first:
-                        head.append(("WARC-Segment-Origin-ID", _uuid(r["record_id"])))
+                        head.append(("WARC-Segment-Origin-ID", _uuid(*own, nth)))
                     if r["last"]:
                         head.append(("WARC-Segment-Total-Length", r["payload_bytes"]))
                 out.write(_member(head, bytes(r["data"]), level))
@@ -220,14 +233,16 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
 
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", size: int = CHUNK) -> tuple[DataFrame, str]:
     """Writes one record per row into archives below ``path``; returns the manifest and the path."""
-    path = path or new_dir(pages.sparkSession, "warc")
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
-    elif path.startswith("file:/") and not path.startswith("file://"):
-        path = f"file://{path[5:]}"
-    facts = cut(originals(pages, id_col, payload_col).select(F.col("record_id").alias("__id"), "payload_bytes", F.col("sha1").alias("payload_sha1"), "refers_to").distinct())
-    rows = chunks(pages, id_col, url_col, payload_col, size)
-    facts = facts.withColumnRenamed("payload_sha1", "__sha1")
-    joined = rows.join(facts, (F.xxhash64("record_id", "payload_sha1") == F.xxhash64("__id", "__sha1")) & F.col("record_id").eqNullSafe(F.col("__id")) & (F.col("payload_sha1") == F.col("__sha1")))
+    path = arrow_uri(path or new_dir(pages.sparkSession, "warc"))
+    own = originals(pages, id_col, payload_col)
+    facts = cut(own.select(F.col("record_id").alias("__id"), "payload_bytes", F.col("sha1").alias("__sha1"), "refers_to").distinct())
+    again = F.col("refers_to").isNotNull()
+    largest = facts.where(again).groupBy("__sha1").agg(F.count("*").alias("n")).where(F.col("n") * HOT > facts.count())
+    bare = {r["__sha1"]: r["first"] for r in facts.join(largest, "__sha1").where(again).groupBy("__sha1").agg(F.max("refers_to").alias("first")).collect()}  # fewer than HOT digests
+    rows = chunks(pages, id_col, url_col, payload_col, size, bare)
+    same = F.coalesce(F.col("record_id") == F.col("__id"), F.col("record_id").isNull() & F.col("__id").isNull()) & (F.concat("payload_sha1", F.lit("")) == F.concat("__sha1", F.lit("")))
+    hashed = lambda i, d: F.xxhash64(i, d).alias("__k")
+    rows = rows.select("*", hashed("record_id", "payload_sha1")).repartition("__k")  # a record and its repeats stay together
+    joined = rows.join(facts.select("*", hashed("__id", "__sha1")), "__k").where(same)
     joined = joined.select("record_id", "url", "seq", "chunk_no", "data", "last", "payload_bytes", "payload_sha1", "refers_to")
-    return cut(write(joined.sortWithinPartitions("record_id", "seq", "chunk_no"), path)), path
+    return cut(write(joined.sortWithinPartitions("record_id", "payload_sha1", "seq", "chunk_no"), path)), path
