@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.runtime import new_dir, whole_key
+from factorspark.llm.runtime import filtered, new_dir, whole_key
 from factorspark.llm.textvec import IS_SPACE, buffers, shingles, slices, words
 
 WIDTH = 5
@@ -114,14 +114,14 @@ def _hits(index: Index, data: np.ndarray, offs: np.ndarray, maps: dict[int, np.n
 
 def _pieces(text: np.ndarray, width: int, size: int) -> Iterator[np.ndarray]:
     """The bytes of a long text in pieces that end between words and begin ``width`` - 1 words before the last one's end."""
-    a, end = 0, len(text)
+    a, end, step = 0, len(text), size
     while True:
-        b = min(a + size, end)
+        b = min(a + step, end)
         while b < end and not IS_SPACE[text[b]]:
             ahead = np.flatnonzero(IS_SPACE[text[b : b + size]])
             b = b + int(ahead[0]) if len(ahead) else min(b + size, end)
-        yield text[a:b]
         if b >= end:
+            yield text[a:]
             return
         back, left = b, width - 1
         while left and back > a:
@@ -130,7 +130,11 @@ def _pieces(text: np.ndarray, width: int, size: int) -> Iterator[np.ndarray]:
             while back > a and not IS_SPACE[text[back - 1]]:
                 back -= 1
             left -= 1
-        a = back if back > a else b
+        if back <= a:  # too few words for a shingle and a step
+            step *= 2
+            continue
+        yield text[a:b]
+        a, step = back, size
 
 
 def search(index: Index, column: pa.Array, maps: dict[int, np.ndarray], piece: int = PIECE) -> list[tuple[int, int, int]]:
@@ -245,12 +249,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         dirty = _finds(rows, first, chain((second,), rest)).select("own").distinct()
         return docs.select(F.struct("*").alias("row"), whole_key(docs).alias("own")).join(dirty, "own", "left_anti").select("row.*")
 
-    def scan(batches: Iterator[pa.RecordBatch], index: Index = first) -> Iterator[pa.RecordBatch]:
-        maps = {w: _bitmap(x[0]) for w, x in index.sketch.items()}
-        for batch in batches:
-            for part in slices(batch, text_col):
-                clean = np.ones(part.num_rows, bool)
-                clean[[h[0] for h in search(index, part.column(part.schema.get_field_index(text_col)), maps)]] = False
-                yield part.filter(pa.array(clean))
+    def verdict():
+        maps = {w: _bitmap(x[0]) for w, x in first.sketch.items()}
+
+        def clean(column: pa.Array) -> np.ndarray:
+            out = np.ones(len(column), bool)
+            out[[h[0] for h in search(first, column, maps)]] = False
+            return out
+
+        return clean
 
-    return docs.mapInArrow(scan, docs.schema)
+    return filtered(docs, text_col, verdict)

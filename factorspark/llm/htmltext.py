@@ -7,11 +7,13 @@ chain, fitted by maximum likelihood on labelled pages, decodes each page by Vite
 main text are joined by newlines. The labelled pages are made by ``labelled_pages``: layouts with known
 blocks, drawn from a fixed seed, so training needs no table and takes seconds on the driver.
 
-Scripts, styles, templates, comments, form controls and the head are no blocks at all. Character
-references are decoded, white space inside a block becomes one space, nothing is cut.
+Scripts, styles, templates, frames, vector graphics, comments, form controls and the head are no blocks
+at all. Character references are decoded, white space inside a block becomes one space, nothing is cut.
 
 Defined cases: a null, empty or text-free page gives an empty text; markup left open is closed by the
-page's end; stray end tags are passed over; a table with other columns keeps its id and url only.
+page's end, as is a script, whose end tag alone closes it; stray end tags are passed over; of elements
+nested deeper than 512 levels the innermost are taken as siblings, text and all; a table with other
+columns keeps its id and url only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,9 +32,13 @@ from pyspark.sql import functions as F
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template textarea title iframe svg annotation canvas noembed noframes xmp".split())
+_RAW = frozenset("script style template textarea title iframe svg".split())
+_DEEPEST = 512
 _HIDDEN = frozenset("head select option optgroup button datalist input label".split())
-_TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+# possessive throughout, so a page is read in time in proportion to its length; a quote opens a value only after "=", and one
+# without an end is a character like any other
+_TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+_CLOSE = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.I) for t in (*_RAW, "xmp")}
 _ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAMING = frozenset("class id role itemprop".split())
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
@@ -58,7 +65,8 @@ _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tag: str
+    tags: frozenset[str]
     hints: frozenset[str]
     linked: int
 
@@ -78,7 +86,8 @@ def _hints(attrs: str) -> frozenset[str]:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in document order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, frozenset[str], frozenset[str], frozenset[str]]] = []  # tag, its hints, tags and hints down to it
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = hidden = links = 0
     at, end = 0, len(page)
@@ -89,14 +98,15 @@ def blocks(page: str) -> list[Block]:
         if text:
             line = " ".join("".join(text).split())
             if line:
-                hints = frozenset().union(*(h for _, h in stack)) if stack else none
-                out.append(Block(line, tuple(t for t, _ in stack), hints, min(linked, len(line))))
+                tag, _, tags, hints = stack[-1] if stack else ("", none, none, none)
+                out.append(Block(line, tag, tags, hints, min(linked, len(line))))
             text.clear()
         linked = 0
 
     def pop(k: int) -> None:
         nonlocal hidden, links
-        for tag, hints in stack[k:]:
+        for tag, hints, _, _ in stack[k:]:
+            opened[tag] -= 1
             hidden -= tag in _HIDDEN or "hidden" in hints
             links -= tag == "a"
         del stack[k:]
@@ -128,7 +138,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop(k)
                     break
@@ -136,9 +146,16 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            close = _CLOSE[tag].search(page, at)
+            at = close.end() if close else end
+            continue
+        if tag == "xmp":
+            close = _CLOSE[tag].search(page, at)
+            flush()
+            if not hidden:
+                text.append(page[at : close.start() if close else end])
+            flush()
+            at = close.end() if close else end
             continue
         if tag == "br":
             text.append(" ")
@@ -160,16 +177,16 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select", "tr", "menu") and stack[k][0] != tag:
                         break
-        elif tag == "body":
-            pop(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))
         if tag == "body":
-            k = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
-            if k is not None:
-                pop(k)
-        if tag in _VOID or m[3].endswith("/"):
+            pop(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+        if tag in _VOID or (tag not in _BLOCK and m[3].endswith("/")):
             continue
+        if len(stack) >= _DEEPEST:
+            pop(_DEEPEST - 1)
         hints = _hints(m[3]) if m[3] else none
-        stack.append((tag, hints))
+        _, _, tags, all_hints = stack[-1] if stack else ("", none, none, none)
+        stack.append((tag, hints, tags if tag in tags else tags | {tag}, all_hints if hints <= all_hints else all_hints | hints))
+        opened[tag] += 1
         hidden += tag in _HIDDEN or "hidden" in hints
         links += tag == "a"
     flush()
@@ -187,10 +204,10 @@ def features(found: list[Block]) -> list[list[str]]:
     for k, b in enumerate(found):
         size = len(b.text)
         words = b.text.count(" ") + 1
-        f = [f"len{min(size.bit_length(), 11)}", f"words{min(words.bit_length(), 8)}", f"link{round(3 * b.linked / size)}", f"tag:{b.tags[-1] if b.tags else ''}", f"end:{b.text[-1] in '.!?。”'}", f"place{4 * k // n}", f"share{min(3, int(10 * size / total))}"]
-        f += [f"in:{t}" for t in set(b.tags)]
+        f = [f"len{min(size.bit_length(), 11)}", f"words{min(words.bit_length(), 8)}", f"link{round(3 * b.linked / size)}", f"tag:{b.tag}", f"end:{b.text[-1] in '.!?。”'}", f"place{4 * k // n}", f"share{min(3, int(10 * size / total))}"]
+        f += [f"in:{t}" for t in b.tags]
         f += [f"hint:{h}" for h in b.hints]
-        if not b.hints & {"nav", "head", "foot", "side", "ad", "note", "talk", "share", "form", "hidden"} and not {"nav", "header", "footer", "aside", "form"} & set(b.tags):
+        if not b.hints & {"nav", "head", "foot", "side", "ad", "note", "talk", "share", "form", "hidden"} and not {"nav", "header", "footer", "aside", "form"} & b.tags:
             f.append("plain")
         if size < 400 and _PRONE.search(b.text):
             f.append(f"prone{min(2, size // 120)}")

@@ -51,14 +51,25 @@ def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
+def _piece_sums(values: np.ndarray, a: int, offs: np.ndarray, out: np.ndarray) -> None:
+    """Adds the sums of values that start at byte ``a`` to the texts that they lie in."""
+    b = a + len(values)
+    i, j = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+    if j > i:
+        out[i:j] += _sums(values, np.clip(offs[i : j + 1], a, b) - a)
+
+
 def base(column: pa.Array) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a string column."""
     data, offs = buffers(column)
     n = len(offs) - 1
     _, _, hashes, firsts = words(data, offs, lower=False)
     n_words = np.diff(firsts)
-    chars = _sums(~IS_SPACE[data] & ((data & 0xC0) != 0x80), offs)
-    symbols = _sums(_SYMBOL[data], offs)
+    chars, symbols, breaks = (np.zeros(n, np.int64) for _ in range(3))
+    for a, b in pieces(data, offs):
+        part = data[a:b]
+        for values, out in ((~IS_SPACE[part] & ((part & 0xC0) != 0x80), chars), (_SYMBOL[part], symbols), (part == 0x0A, breaks)):
+            _piece_sums(values, a, offs, out)
     h, at = shingles(hashes, firsts, 5)
     row = np.searchsorted(firsts, at, "right") - 1
     order = np.argsort(mix(h + row.astype(np.uint64) * _C), kind="stable")
@@ -73,7 +84,7 @@ def base(column: pa.Array) -> dict[str, np.ndarray]:
     repeated = _sums(np.cumsum(cover[:-1]) > 0, firsts)
     dup = np.zeros(n, np.int64)
     raw, cuts = data.tobytes(), offs.tolist()
-    for k in np.flatnonzero(_sums(data == 0x0A, offs)).tolist():
+    for k in np.flatnonzero(breaks).tolist():
         lines = [x for x in raw[cuts[k] : cuts[k + 1]].split(b"\n") if x and not x.isspace()]
         dup[k] = len(lines) - len(set(lines))
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated}
@@ -121,12 +132,11 @@ class Model:
         data, offs = buffers(column)
         places, firsts = _word_places(data, offs)
         z = self.bias + SCALE * _sums(self.words[places], firsts) / np.maximum(np.diff(firsts), 1)
-        got = np.zeros(len(data), np.float64)
-        here = np.zeros(len(data), np.int64)
+        got, here = np.zeros(len(z)), np.zeros(len(z), np.int64)
         for a, at, inside in _gram_places(data, offs):
-            got[a : a + len(at)] = np.where(inside, self.grams[at], 0.0)
-            here[a : a + len(at)] = inside
-        return z + SCALE * _sums(got, offs) / np.maximum(_sums(here, offs), 1)
+            _piece_sums(np.where(inside, self.grams[at], 0.0), a, offs, got)
+            _piece_sums(inside, a, offs, here)
+        return z + SCALE * got / np.maximum(here, 1)
 
     def probability(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.logits(column) + self.shift)))

@@ -7,11 +7,15 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorspark.llm.textvec import slices
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach; a local one only for a local master without a setting."""
@@ -95,3 +99,20 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFr
         return rows.join(cold, key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def filtered(docs: DataFrame, text_col: str, verdict: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows whose text passes, all columns kept; ``verdict`` makes a task's test of a column of texts.
+
+    Columns go to Python under plain names, since not every name can be passed there.
+    """
+    at = docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = verdict()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(passes(part.column(at))))
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(scan, plain.schema).toDF(*docs.columns)

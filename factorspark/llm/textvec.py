@@ -3,7 +3,7 @@
 Words are the maximal runs of bytes outside {0x20, 0x09-0x0D}; hashing folds A-Z to a-z. A word's
 hash is a polynomial in random 64-bit byte codes with wrapping arithmetic, so one cumulative sum
 hashes every word of a buffer. Buffers are worked off in pieces of about ``PIECE`` bytes that end at
-white space or a text's end, which bounds memory whatever the length of one text.
+white space or a text's end; what grows with the buffer is 24 bytes a word.
 """
 
 from __future__ import annotations
@@ -136,9 +136,9 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> Pair:
     return mix(out[at]), at
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20):
     """The batch in slices of whole rows whose texts come to about ``limit`` bytes."""
-    k = batch.schema.get_field_index(column)
+    k = column if isinstance(column, int) else batch.schema.get_field_index(column)
     _, offs = buffers(batch.column(k))
     a, n = 0, batch.num_rows
     while a < n:

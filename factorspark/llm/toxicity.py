@@ -4,7 +4,8 @@ A sentence is a run between the bytes . ! ? and newline that has a token; tokens
 letters, digits and bytes over 0x7F, A-Z folded. Its features are its tokens and the 5-byte grams inside
 them, a separator on either side included. P(sentence) is logistic in the present features, and a
 document is toxic unless no sentence is: 1 - (1 - leak) * prod(1 - P(sentence)), the leak standing for
-labels that no sentence explains. Features are screened by their documents' labels, weights fitted by
+labels that no sentence explains. Features are screened by their documents' labels, first by place in a
+fixed table, where one that shares its place with others can be lost, weights fitted by
 proximal adaptive-gradient steps with an L1 term on a bounded labelled sample; sentences are never labelled. A text
 is scored whole, in pieces that end at white space.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.llm import textvec
-from factorspark.llm.runtime import trim
+from factorspark.llm.runtime import filtered, trim
 from factorspark.llm.textvec import LOWER, Pair, buffers, mix, pieces, slices
 from factorspark.llm.training import held_out, labelled_sample
 
@@ -264,11 +265,4 @@ def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns kept, that score below the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                p, _, _ = score(shared.value, part.column(part.schema.get_field_index(text_col)), threshold)
-                yield part.filter(pa.array(p < threshold))
-
-    return docs.mapInArrow(scan, docs.schema)
+    return filtered(docs, text_col, lambda: lambda column: score(shared.value, column, threshold)[0] < threshold)
