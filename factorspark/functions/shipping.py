@@ -28,5 +28,9 @@ def ship(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/factorspark/{what}-{uuid.uuid4().hex}"

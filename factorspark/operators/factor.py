@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from factorspark.operators.similarity import blocks_for
 
 BLOCKS = 4
 
@@ -49,7 +50,7 @@ def peer_factor_join(weights: DataFrame, returns: DataFrame, gate: float = 1.0,
     return got.where(F.col("__w") > gate).select("dt", "sym", (F.col("__n") / F.col("__w")).alias("factor"))
 
 
-def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int = BLOCKS) -> DataFrame:
+def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int | None = None) -> DataFrame:
     """``peer_factor_join`` as block matrix products in Arrow, for dense weights; no edge is pruned.
 
     Targets, peers and dates are dealt into blocks. A task multiplies one block of weights with one block
@@ -59,6 +60,7 @@ def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret:
     from factorspark.functions.shipping import ship
 
     ship(weights.sparkSession)
+    blocks = blocks or blocks_for(returns, "sym", BLOCKS)
     deal = lambda c: F.pmod(F.hash(c), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     w = weights.where("w <> 0").select("target", "peer", "w", deal("target").alias("i"), deal("peer").alias("p")).withColumn("m", every)
@@ -69,7 +71,19 @@ def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret:
     return got.where(F.col("d") > gate).select("dt", "sym", (F.col("n") / F.col("d")).alias("factor"))
 
 
-def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int = BLOCKS) -> DataFrame:
+def keyed_factor(weights: DataFrame, returns: DataFrame, keys: tuple[str, ...], gate: float = 1.0) -> DataFrame:
+    """(keys, dt, sym, factor): ``peer_factor`` of weights (keys, target, peer, w), each key a set of weights of its own.
+
+    Key and target together are the rows of the matrices, so all keys share one block product.
+    """
+    kinds = {k: weights.schema[k].dataType for k in (*keys, "target")}
+    row = F.to_json(F.struct(*keys, "target"))
+    got = peer_factor(weights.select(row.alias("target"), "peer", "w"), returns, gate)
+    back = F.from_json("sym", ", ".join(f"{k} {t.simpleString()}" for k, t in kinds.items())).alias("r")
+    return got.select("dt", "factor", back).select(*[F.col("r")[k].alias(k) for k in keys], "dt", F.col("r.target").alias("sym"), "factor")
+
+
+def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int | None = None) -> DataFrame:
     """peer_factor with weights (month, target, peer, w) that hold for the days of their month.
 
     A task multiplies a month's block of weights with the block's returns of that month.
@@ -77,6 +91,7 @@ def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float =
     from factorspark.functions.shipping import ship
 
     ship(weights.sparkSession)
+    blocks = blocks or blocks_for(daily, "sym", BLOCKS)
     deal = lambda c: F.pmod(F.hash(c), F.lit(blocks))
     w = weights.where("w IS NOT NULL").select("month", "target", "peer", "w", deal("target").alias("i"), deal("peer").alias("p"))
     r = daily.where(F.col(ret).isNotNull()).select("dt", F.date_format("dt", "yyyy-MM").alias("rmonth"), F.col("sym").alias("s"), F.col(ret).cast("double").alias("r"), deal("sym").alias("rp"))

@@ -8,24 +8,46 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Each left row with the value of the right row latest at or before it, per key.
 
     One union, one sort a key: no range join, so the plan has a single exchange by ``by``. ``right``
-    should be unique by key and time. Without a key all rows share one partition.
+    should be unique by key and time. Without a key time is cut into ``SPANS`` equal spans, which are the
+    keys, and a row before the first right row of its span has the last value of the spans before.
     """
     out = out or value
+    if not by:
+        return _asof_by_span(left, right, on, value, out)
     keys = list(by)
     a = left.select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
     fill = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*keys, on)]
     b = right.select(*keys, on, *fill, F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
     return both.where("__side = 1").select(*left.columns, F.col("__v").alias(out))
 
 
+SPANS = 256
+
+
+def _asof_by_span(left: DataFrame, right: DataFrame, on: str, value: str, out: str) -> DataFrame:
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(left.schema[on].dataType, T.DatetimeType | T.TimestampNTZType) else F.col(c).cast("double")
+    low, high = right.agg(F.min(at(on)), F.max(at(on))).first()
+    width = ((high - low) / SPANS if low is not None else 0) or 1
+    span = F.least(F.greatest(F.floor((at(on) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)), F.lit(SPANS)).cast("int")
+    keyed = right.where(F.col(value).isNotNull()).select(on, value, span.alias("__span"))
+    own = asof_backward(left.withColumn("__span", span), keyed, on, value, ["__span"], "__own")
+    last = keyed.groupBy("__span").agg(F.max_by(value, on).alias("__last"))
+    spans = left.sparkSession.range(-1, SPANS + 1).select(F.col("id").cast("int").alias("__span"))
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.join(last, "__span", "left").select("__span", F.last("__last", ignorenulls=True).over(before).alias("__carried"))  # SPANS rows
+    got = own.join(F.broadcast(carried), "__span", "left")
+    return got.select(*left.columns, F.coalesce("__own", "__carried").alias(out))
+
+
 def calendar_index(df: DataFrame, dt: str = "dt", out: str = "idx") -> DataFrame:
     """(dt, idx): the distinct dates numbered from 1. The number of dates bounds the single window."""
     return df.select(dt).distinct().withColumn(out, F.row_number().over(Window.orderBy(dt)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +25,18 @@ def mild(df: DataFrame, y: str, x: str, dt: str = "dt", least: int = LEAST) -> D
 def styles(df: DataFrame, y: str, xs: list[str], dt: str = "dt", sym: str = "sym", least: int = LEAST) -> DataFrame:
     """(dt, sym, residual, r2) of the standardized factor on several standardized styles and a constant.
 
-    One least-squares fit a date, each date's cross-section in one group.
+    Least squares by successive residuals: each style is cleared of those before it, the factor of each
+    cleared style, all in windows over the date; a style that those before it explain adds nothing.
     """
     cols = [y, *xs]
     known = df.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(dt)))
-    ready = _standard(known.where(F.col("__n") >= least).drop("__n"), cols, [dt]).select(dt, sym, *cols)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.column_stack([np.ones(len(pdf)), *(pdf[x] for x in xs)])
-        target = pdf[y].to_numpy()
-        res = target - a @ np.linalg.lstsq(a, target, rcond=None)[0]
-        total = ((target - target.mean()) ** 2).sum()
-        return pd.DataFrame({dt: pdf[dt], sym: pdf[sym], "residual": res, "r2": 1 - (res**2).sum() / total if total > 0 else 0.0})
-
-    kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
-    return ready.groupBy(dt).applyInPandas(fit, f"{dt} {kinds[dt]}, {sym} {kinds[sym]}, residual double, r2 double")
+    rows = _standard(known.where(F.col("__n") >= least).drop("__n"), cols, [dt]).select(dt, sym, F.col(y).alias("__y"), *cols)
+    for k, x in enumerate(xs):
+        rows = rows.withColumns({c: ols_residual(c, x, [dt]) for c in (y, *xs[k + 1 :])})
+    w = Window.partitionBy(dt)
+    rows = rows.withColumn("__y", F.col("__y") - F.avg("__y").over(w))
+    total = F.sum(F.col("__y") * F.col("__y")).over(w)
+    return rows.select(dt, sym, F.col(y).alias("residual"), F.when(total > 1e-20, 1 - F.sum(F.col(y) * F.col(y)).over(w) / total).otherwise(F.lit(0.0)).alias("r2"))
 
 
 def sector_and_size(df: DataFrame, y: str, x: str, sector: str = "sector", dt: str = "dt") -> DataFrame:

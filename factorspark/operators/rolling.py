@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -85,18 +86,23 @@ def winsorize(x: str, w: WindowSpec, method="std", n=3.0) -> Column:
 
 
 def ema(df: DataFrame, x: str, by: Sequence[str], order: str, span: int, out: str = "ema") -> DataFrame:
-    """Exponential mean, alpha = 2 / (span + 1), seeded with the first value.
+    """(by, order, x, out): exponential mean, alpha = 2 / (span + 1), seeded with the first value.
 
-    One fold an entire key: the key's values are one array, so a key must fit in a task, as a symbol's
-    history does.
+    One pass over each key's values in order; a key must fit in a task, as a symbol's history does.
     """
-    a = 2.0 / (span + 1.0)
-    rows = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(x)))).alias("__s"))
-    empty = F.array().cast("array<double>")
-
-    def step(acc: Column, v: Column) -> Column:
-        prev = F.try_element_at(acc, F.lit(-1))
-        return F.concat(acc, F.array(F.when(prev.isNull(), v[x]).otherwise(F.lit(a) * v[x] + F.lit(1.0 - a) * prev)))
+    from factorspark.functions.shipping import ship
 
-    rows = rows.withColumn("__e", F.aggregate("__s", empty, step))
-    return rows.select(*by, F.posexplode("__e").alias("__k", out), "__s").select(*by, F.col("__s")[F.col("__k")][order].alias(order), F.col("__s")[F.col("__k")][x].alias(x), out)
+    ship(df.sparkSession)
+    a = 2.0 / (span + 1.0)
+    rows = df.where(F.col(x).isNotNull()).select(*by, order, F.col(x).cast("double").alias(x))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        got, last = [], None
+        for v in t[x].to_pylist():
+            last = v if last is None else a * v + (1.0 - a) * last
+            got.append(last)
+        return t.append_column(out, pa.array(got, pa.float64()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy(*by).applyInArrow(run, f"{kinds}, {out} double")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factorspark.functions import weights as W
@@ -14,6 +18,12 @@ from factorspark.operators.xsection import ordinal_pct
 
 BLOCKS = 8
 SERIES_BLOCKS = 16
+BLOCK_ROWS = 1000
+
+
+def blocks_for(df: DataFrame, key: str = "sym", least: int = BLOCKS, size: int = BLOCK_ROWS) -> int:
+    """Number of blocks that hold about ``size`` keys each, ``least`` at least, so a task's matrices have a fixed size."""
+    return max(least, -(-(df.agg(F.approx_count_distinct(key)).first()[0] or 0) // size))
 
 
 def category_cosine(targets: DataFrame, peers: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -28,7 +38,7 @@ def category_cosine(targets: DataFrame, peers: DataFrame, blocks: int = BLOCKS)
     return a.join(b, ["category", "__k"]).select("target", "peer", "category", W.dot(F.col("__a"), F.col("__b")).alias("cos"))
 
 
-def block_similarity(targets: DataFrame, peers: DataFrame, category_weights: dict[int, float] | None = None, blocks: int = BLOCKS) -> DataFrame:
+def block_similarity(targets: DataFrame, peers: DataFrame, category_weights: dict[int, float] | None = None, blocks: int | None = None) -> DataFrame:
     """(target, peer, sim): ``weighted_similarity`` of ``category_cosine``, as matrix products in Arrow.
 
     Targets and peers are dealt into blocks; each pair of blocks is one task that holds two blocks of
@@ -36,6 +46,7 @@ def block_similarity(targets: DataFrame, peers: DataFrame, category_weights: dic
     category is ever shuffled.
     """
     kind = targets.schema["sym"].dataType.simpleString()
+    blocks = blocks or max(blocks_for(targets), blocks_for(peers))
     block = lambda: F.pmod(F.hash("sym"), F.lit(blocks))
     all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = targets.select("sym", "category", "emb", block().alias("i")).withColumn("j", all_)
@@ -112,30 +123,33 @@ def mean_embedding(cats: DataFrame) -> DataFrame:
     return per.groupBy("sym").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("emb"))
 
 
-def correlation_edges(returns: DataFrame, min_overlap: int, peers: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def correlation_edges(returns: DataFrame, min_overlap: int, blocks: int | None = None) -> DataFrame:
     """(target, peer, corr, n) of return series (dt, sym, ret) over shared dates, at least ``min_overlap``.
 
-    A pair in which a side has no variance has correlation 0; pairs under the overlap have none.
+    A pair in which a side has no variance has correlation 0; pairs under the overlap have none. Pairs
+    leave their block as one row, so no row a pair and date is ever made.
     """
-    a = returns.where("ret IS NOT NULL").select("dt", F.col("sym").alias("target"), F.col("ret").alias("x"), *by)
-    b = (returns if peers is None else peers).where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), F.col("ret").alias("y"), *by)
-    got = a.join(b, ["dt", *by]).groupBy(*by, "target", "peer").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("__c"), F.stddev_pop("x").alias("__x"), F.stddev_pop("y").alias("__y"))
-    corr = F.when((F.col("__x") > 1e-14) & (F.col("__y") > 1e-14), F.col("__c") / (F.col("__x") * F.col("__y"))).otherwise(F.lit(0.0))
-    return got.select(*by, "target", "peer", F.when(F.col("n") >= min_overlap, corr).alias("corr"), "n")
+    return _walked(returns, [(None, None)], T.IntegerType(), min_overlap, blocks).select("target", "peer", "corr", "n")
 
 
-def expanding_correlation_edges(returns: DataFrame, months: DataFrame, min_overlap: int, blocks: int = SERIES_BLOCKS) -> DataFrame:
+def expanding_correlation_edges(returns: DataFrame, months: DataFrame, min_overlap: int, blocks: int | None = None) -> DataFrame:
     """(month, target, peer, corr, n): ``correlation_edges`` of the returns up to each (month, upto), for all months in one pass.
 
     Symbols are dealt into blocks. A task walks the dates of one pair of blocks once, keeps running means
     and co-moments of all its pairs as matrices, and gives a row a pair with a shared date at each month.
     Returns are unique by date and symbol; the calendar, one row a month, goes to the tasks.
     """
+    stops = sorted((np.datetime64(r["upto"]), r["month"]) for r in months.select("month", "upto").collect())
+    return _walked(returns, stops, months.schema["month"].dataType, min_overlap, blocks)
+
+
+def _walked(returns: DataFrame, stops: list, month: T.DataType, min_overlap: int, blocks: int | None) -> DataFrame:
+    """Correlations of all pairs up to each stop (date, name); a stop without date is the end."""
     from factorspark.functions.shipping import ship
 
     ship(returns.sparkSession)
-    stops = sorted((np.datetime64(r["upto"]), r["month"]) for r in months.select("month", "upto").collect())
-    month, kind = months.schema["month"].dataType, returns.schema["sym"].dataType
+    blocks = blocks or blocks_for(returns, "sym", SERIES_BLOCKS, BLOCK_ROWS // 2)
+    kind = returns.schema["sym"].dataType
     out = pa.schema([("month", to_arrow_type(month)), ("target", to_arrow_type(kind)), ("peer", to_arrow_type(kind)), ("corr", pa.float64()), ("n", pa.int64())])
     deal = F.pmod(F.hash("sym"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -160,7 +174,7 @@ def expanding_correlation_edges(returns: DataFrame, months: DataFrame, min_overl
         n, mx, my, cxx, cyy, cxy = (np.zeros((len(targets), len(peers))) for _ in range(6))
         parts, done = [], 0
         for upto, name in stops:
-            while done < len(dates) and dates[done] <= upto:
+            while done < len(dates) and (upto is None or dates[done] <= upto):
                 both = np.outer(kx[done], ky[done])
                 n += both
                 share = both / np.maximum(n, 1.0)
@@ -184,23 +198,72 @@ def expanding_correlation_edges(returns: DataFrame, months: DataFrame, min_overl
     return a.groupBy("i", "j").cogroup(b.groupBy("peer_i", "peer_j")).applyInArrow(walk, f"month {month.simpleString()}, target {kind.simpleString()}, peer {kind.simpleString()}, corr double, n long")
 
 
-def whiten(vectors: DataFrame, k: int, key: str = "sym", emb: str = "emb") -> DataFrame:
-    """(key, z): whitened coordinates sqrt(n) * U[:, :k] of the centred vectors, from one distributed SVD."""
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+def gram(vectors: DataFrame, emb: str = "emb") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and centred cross products of the vectors, from one sum a partition; d x d numbers reach the driver."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            rows = batch.column(0)
+            if len(rows):
+                x = np.asarray(rows.flatten(), float).reshape(len(rows), -1)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        row = np.sum([np.asarray(v.values, float) for v in parts["row"]], axis=0)
+        return pa.table([parts["i"].slice(0, 1), pa.array([row], pa.list_(pa.float64()))], ["i", "row"])
+
+    known = vectors.where(F.col(emb).isNotNull()).select(F.transform(emb, lambda x: x.cast("double")).alias("v"))
+    sums = known.mapInArrow(scan, "i int, row array<double>").groupBy("i").applyInArrow(add, "i int, row array<double>").collect()
+    if not sums:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    m = np.array([r["row"] for r in sorted(sums, key=lambda r: r["i"])])
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    return int(n), mean, m[1:, 1:] - n * np.outer(mean, mean)
+
+
+@dataclass
+class Whitening:
+    """Directions of a table of vectors by falling variance: z = (x - mean) @ project; explained[w - 1] is the share of the first w."""
+
+    mean: np.ndarray
+    project: np.ndarray
+    explained: np.ndarray
+
+
+def fit_whitening(vectors: DataFrame, widest: int, emb: str = "emb") -> Whitening:
+    """The decomposition behind sqrt(n) * U[:, :w] for every w up to ``widest``, from the vectors' cross products."""
+    from factorspark.functions.shipping import ship
+
+    ship(vectors.sparkSession)
+    n, mean, cross = gram(vectors, emb)
+    values, directions = np.linalg.eigh(cross)
+    values, directions = np.maximum(values[::-1], 0.0), directions[:, ::-1]
+    flat = values <= 1e-10 * max(values.max(initial=0.0), 1e-300)  # a direction without variance has coordinate 0
+    scale = np.where(flat, 0.0, np.sqrt(n) / np.sqrt(np.where(flat, 1.0, values)))
+    return Whitening(mean, directions[:, :widest] * scale[:widest], np.cumsum(values)[:widest] / max(values.sum(), 1e-300))
+
+
+def whiten(vectors: DataFrame, k: int | Whitening, key: str = "sym", emb: str = "emb") -> DataFrame:
+    """(key, z): whitened coordinates of the vectors, narrower ones being the first of them."""
+    model = fit_whitening(vectors, k, emb) if isinstance(k, int) else k
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list((x - model.mean) @ model.project), pa.list_(pa.float64()))], [key, "z"])
 
-    ordered = vectors.select(key, array_to_vector(F.transform(emb, lambda x: x.cast("double"))).alias("v")).where("v IS NOT NULL")
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(ordered).transform(ordered).select(F.col(key).cast("long"), "c")
-    matrix = IndexedRowMatrix(centred.rdd.map(lambda r: IndexedRow(r[0], Old.dense(r[1].toArray()))))
-    n = centred.count()
-    u = matrix.computeSVD(k, computeU=True).U
-    return u.rows.map(lambda r: (int(r.index), [float(x) * n**0.5 for x in r.vector.toArray()])).toDF(f"{key} long, z array<double>")
+    rows = vectors.where(F.col(emb).isNotNull()).select(key, F.transform(emb, lambda x: x.cast("double")).alias("v"))
+    return rows.mapInArrow(scan, f"{key} {rows.schema[key].dataType.simpleString()}, z array<double>")
 
 
-def covariance(white: DataFrame, z: str = "z") -> DataFrame:
-    """(i, j, cov) of whitened coordinates; the identity if whitening holds."""
-    flat = white.select(F.monotonically_increasing_id().alias("row"), F.posexplode(z).alias("i", "x"))
-    n = white.count()
-    return flat.join(flat.select("row", F.col("i").alias("j"), F.col("x").alias("y")), "row").groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / n).alias("cov"))
+def covariance(white: DataFrame, width: int | None = None, z: str = "z") -> DataFrame:
+    """(i, j, cov) of the first ``width`` coordinates; the identity if whitening holds."""
+    part = F.col(z) if width is None else F.slice(z, 1, width)
+    rows = white.select(part.alias("v"))
+    pairs = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
+    return pairs.groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / F.count("*")).alias("cov"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -87,9 +87,11 @@ def nearest_quantile(values: Column, q: float) -> Column:
     return F.try_element_at(values, F.floor(F.lit(q) * (F.size(values) - 1) + F.lit(0.5)).cast("int") + 1)
 
 
-def winsorize_quantile(x: str, by: Sequence[str], q: float = 0.01) -> Column:
-    values = F.sort_array(F.collect_list(x).over(over(*by)))
-    return _clip(F.col(x), nearest_quantile(values, q), nearest_quantile(values, 1 - q))
+def winsorize_quantile(df: DataFrame, x: str, by: Sequence[str], q: float = 0.01, out: str = "winsorized") -> DataFrame:
+    """Adds x clipped to the nearest quantiles q and 1 - q of its group, which are found once a group."""
+    bounds = df.groupBy(*by).agg(F.sort_array(F.collect_list(x)).alias("__v"))
+    bounds = bounds.select(*by, nearest_quantile(F.col("__v"), q).alias("__low"), nearest_quantile(F.col("__v"), 1 - q).alias("__high"))
+    return df.join(bounds, list(by)).withColumn(out, _clip(F.col(x), F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
 def winsorize_percentile(x: str, by: Sequence[str], low: float = 0.01, high: float = 0.99) -> Column:
@@ -119,7 +121,7 @@ def winsorize(df, x: str, by: Sequence[str], method="std", n=3.0, out: str = "wi
     if method == "std":
         return df.withColumn(out, winsorize_std(x, by, n))
     if method == "quantile":
-        return df.withColumn(out, winsorize_quantile(x, by, n))
+        return winsorize_quantile(df, x, by, n, out)
     if method == "mad":
         df = df.withColumn("__median", median(x, by))
         df = df.withColumn("__mad", mad(x, "__median", by))

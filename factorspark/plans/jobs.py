@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.operators import stats
+from factorspark.operators.factor import keyed_factor
 
 
 def stacked(**named: DataFrame) -> DataFrame:
@@ -16,13 +17,12 @@ def stacked(**named: DataFrame) -> DataFrame:
 
 
 def variant_factors(weights: DataFrame, returns: DataFrame, gate: float = 1.0) -> DataFrame:
-    """(variant, dt, sym, factor) of weights (variant, target, peer, w): all variants share one join."""
-    r = returns.where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), "ret")
-    got = weights.where("w <> 0").join(r, "peer").groupBy("variant", "dt", F.col("target").alias("sym")).agg(F.sum(F.col("w") * F.col("ret")).alias("__n"), F.sum("w").alias("__w"))
-    return got.where(F.col("__w") > gate).select("variant", "dt", "sym", (F.col("__n") / F.col("__w")).alias("factor"))
+    """(variant, dt, sym, factor) of weights (variant, target, peer, w): all variants share one block product."""
+    return keyed_factor(weights, returns, ("variant",), gate)
 
 
-def variant_scores(factors: DataFrame, labels: DataFrame, periods: float = 12.0) -> DataFrame:
-    """(variant, mean_ic, icir) of factors against labels (dt, sym, label)."""
-    c = stats.ic(factors.join(labels, ["dt", "sym"]), "factor", "label", ["variant", "dt"])
-    return c.groupBy("variant").agg(F.avg("ic").alias("mean_ic"), (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.lit(periods))).alias("icir"))
+def variant_scores(factors: DataFrame, labels: DataFrame, periods: float = 12.0, by: tuple[str, ...] = ("variant",)) -> DataFrame:
+    """(by, mean_ic, icir) of rank coefficients of factors, to nine places, against labels (dt, sym, label)."""
+    joined = factors.withColumn("factor", F.round("factor", 9)).join(labels, ["dt", "sym"])
+    c = stats.rank_ic(joined, "factor", "label", [*by, "dt"], "ic")
+    return c.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.lit(periods))).alias("icir"))

@@ -41,7 +41,13 @@ simple("w17_cs_demean", lambda: xs.demean("factor", BY), "factor - avg(factor) O
 simple("w19_cs_winsorize_std", lambda: xs.winsorize_std("factor", BY, 1.5), "CASE WHEN coalesce(stddev_samp(factor) OVER wd, 0) > 0 THEN greatest(least(factor, avg(factor) OVER wd + 1.5 * stddev_samp(factor) OVER wd), avg(factor) OVER wd - 1.5 * stddev_samp(factor) OVER wd) ELSE factor END")
 simple("w38_cs_zscore_population", lambda: xs.population_zscore("factor", BY), "CASE WHEN stddev_pop(factor) OVER wd > 1e-12 THEN (factor - avg(factor) OVER wd) / stddev_pop(factor) OVER wd ELSE 0 END")
 simple("w39_gics_demean", lambda: xs.demean("factor", ["dt", "sector"]), "factor - avg(factor) OVER (PARTITION BY dt, sector)")
-simple("w21_cs_winsorize_quantile", lambda: xs.winsorize_quantile("factor", BY, 0.1), "greatest(least(factor, list_sort(list(factor) OVER wd)[CAST(floor(0.9 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1]), list_sort(list(factor) OVER wd)[CAST(floor(0.1 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1])")
+
+
+@query("w21_cs_winsorize_quantile", f"WITH {fx.FL_SQL} SELECT dt, sym, {rs('greatest(least(factor, list_sort(list(factor) OVER wd)[CAST(floor(0.9 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1]), list_sort(list(factor) OVER wd)[CAST(floor(0.1 * (count(*) OVER wd - 1) + 0.5) AS INT) + 1])', 'value')} FROM ok WINDOW wd AS (PARTITION BY dt)")
+def w21(spark: SparkSession, d: str) -> DataFrame:
+    return xs.winsorize_quantile(fx.ok(spark, d), "factor", BY, 0.1, "x").select("dt", "sym", r("x", "value"))
+
+
 simple("f5_winsorize_percentile", lambda: xs.winsorize_percentile("factor", BY), "greatest(least(factor, quantile_cont(factor, 0.99) OVER wd), quantile_cont(factor, 0.01) OVER wd)")
 simple("w41_own_momentum", lambda: ret.lookback_return(2), "close / nullif(lag(close, 2) OVER ws, 0) - 1")
 simple("w35_cumulative_sum", lambda: ret.cumulative("label"), "sum(label) OVER (PARTITION BY sym ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -337,12 +343,26 @@ def a45(spark: SparkSession, d: str) -> DataFrame:
     return mild(fx.ok(spark, d), "factor", "close").select("dt", "sym", r("residual", "residual"))
 
 
-@query("a46_ols_residual_styles")
+def _less(y: str, x: str) -> str:
+    return f"{y} - avg({y}) OVER d - CASE WHEN var_pop({x}) OVER d > 1e-24 THEN covar_pop({x}, {y}) OVER d / var_pop({x}) OVER d ELSE 0 END * ({x} - avg({x}) OVER d) AS {y}"
+
+
+_STYLES = ("factor", "size", "own", "weight")
+A46_SQL = (
+    f"WITH {fx.FL_SQL}, s0 AS (SELECT dt, sym, factor, ln(close) AS size, close / nullif(lag(close, 2) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS own, weight FROM ok), s1 AS (SELECT *, count(*) OVER (PARTITION BY dt) AS n FROM s0 WHERE size IS NOT NULL AND own IS NOT NULL AND weight IS NOT NULL), "
+    f"s2 AS (SELECT dt, sym, {', '.join(f'greatest(least({c}, quantile_cont({c}, 0.99) OVER d), quantile_cont({c}, 0.01) OVER d) AS {c}' for c in _STYLES)} FROM s1 WHERE n >= 10 WINDOW d AS (PARTITION BY dt)), "
+    f"s3 AS (SELECT dt, sym, {', '.join(f'CASE WHEN stddev_pop({c}) OVER d > 1e-12 THEN ({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d ELSE 0 END AS {c}' for c in _STYLES)} FROM s2 WINDOW d AS (PARTITION BY dt)), "
+    f"s4 AS (SELECT dt, sym, factor AS y, size, {_less('factor', 'size')}, {_less('own', 'size')}, {_less('weight', 'size')} FROM s3 WINDOW d AS (PARTITION BY dt)), "
+    f"s5 AS (SELECT dt, sym, y, own, {_less('factor', 'own')}, {_less('weight', 'own')} FROM s4 WINDOW d AS (PARTITION BY dt)), "
+    f"s6 AS (SELECT dt, sym, y, {_less('factor', 'weight')} FROM s5 WINDOW d AS (PARTITION BY dt)) "
+    f"SELECT dt, sym, {rs('factor', 'residual')}, {rs('CASE WHEN sum((y - my) * (y - my)) OVER d > 1e-20 THEN 1 - sum(factor * factor) OVER d / sum((y - my) * (y - my)) OVER d ELSE 0 END', 'r2')} FROM (SELECT *, avg(y) OVER (PARTITION BY dt) AS my FROM s6) WINDOW d AS (PARTITION BY dt)"
+)
+
+
+@query("a46_ols_residual_styles", A46_SQL)
 def a46(spark: SparkSession, d: str) -> DataFrame:
-    from factorspark.functions.shipping import ship
     from factorspark.operators.neutralize import styles
 
-    ship(spark)
     rows = fx.ok(spark, d).withColumns({"size": F.log("close"), "own": ret.lookback_return(2)})
     return styles(rows, "factor", ["size", "own", "weight"]).select("dt", "sym", r("residual", "residual"), r("r2", "r2"))
 

@@ -148,7 +148,7 @@ def x0(spark: SparkSession, d: str) -> DataFrame:
 _DRET = "dret AS (SELECT dt, sym, close / nullif(lag(close) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS ret FROM daily)"
 
 
-@query("a13_daily_factor", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET} SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM w JOIN dret ON dret.sym = w.peer WHERE ret IS NOT NULL AND target % 10 = 0 GROUP BY 1, 2 HAVING sum(w) > 1")
+@query("a13_daily_factor", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET} SELECT dt, target AS sym, {rs('sum(w * ret) / sum(w)', 'factor')} FROM w JOIN dret ON dret.sym = w.peer WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w) > 1")
 def a13(spark: SparkSession, d: str) -> DataFrame:
     """Factor of every symbol from all its peers."""
     dret = daily(spark, d).select("dt", "sym", ret.lookback_return(1).alias("ret"))
@@ -210,7 +210,7 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
     return sim.correlation_edges(rows.join(recent, "dt", "left_semi"), 12).select("target", "peer", r("corr", "corr"), "n")
 
 
-@query("a19_j21_monthly_correlation_weights", f"WITH {fx.PANEL_SQL}, {_MRET}, m AS (SELECT dt, coalesce(lag(dt) OVER (ORDER BY dt), dt) AS upto FROM (SELECT DISTINCT dt FROM panel) WHERE year(dt) = 2000), s AS (SELECT m.dt AS month, sym, mret.dt AS dt, ret FROM m JOIN mret ON mret.dt <= m.upto AND sym <= 20) SELECT a.month AS month, a.sym AS target, b.sym AS peer, {rs(_PAIR_CORR.format(m=12), 'corr')}, count(*) AS n FROM s a JOIN s b ON a.month = b.month AND a.dt = b.dt GROUP BY 1, 2, 3")
+@query("a19_j21_monthly_correlation_weights", f"WITH {fx.PANEL_SQL}, {_MRET}, m AS (SELECT dt, coalesce(lag(dt) OVER (ORDER BY dt), dt) AS upto FROM (SELECT DISTINCT dt FROM panel)), s AS (SELECT m.dt AS month, sym, mret.dt AS dt, ret FROM m JOIN mret ON mret.dt <= m.upto) SELECT a.month AS month, a.sym AS target, b.sym AS peer, {rs(_PAIR_CORR.format(m=12), 'corr')}, count(*) AS n FROM s a JOIN s b ON a.month = b.month AND a.dt = b.dt GROUP BY 1, 2, 3")
 def a19(spark: SparkSession, d: str) -> DataFrame:
     """Weights of each month from data up to the month before."""
     months = fx.panel(spark, d).select("dt").distinct()
@@ -260,7 +260,7 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return mean.join(s.where("region <> 1").select("sym", "sector"), "sector").select("dt", "sym", r("m", "factor"))
 
 
-@query("j20_month_keyed_weights", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET}, mw AS (SELECT DISTINCT strftime(dt, '%Y-%m') AS month, month(dt) AS m FROM daily) SELECT dt, target AS sym, {rs('sum(w * m * ret) / sum(w * m)', 'factor')} FROM w, mw JOIN dret ON strftime(dret.dt, '%Y-%m') = mw.month WHERE dret.sym = w.peer AND ret IS NOT NULL AND target % 20 = 0 GROUP BY 1, 2 HAVING sum(w * m) > 1")
+@query("j20_month_keyed_weights", f"WITH {DAILY_SQL}, {PAIRS_SQL}, {_DRET}, mw AS (SELECT DISTINCT strftime(dt, '%Y-%m') AS month, month(dt) AS m FROM daily) SELECT dt, target AS sym, {rs('sum(w * m * ret) / sum(w * m)', 'factor')} FROM w, mw JOIN dret ON strftime(dret.dt, '%Y-%m') = mw.month WHERE dret.sym = w.peer AND ret IS NOT NULL GROUP BY 1, 2 HAVING sum(w * m) > 1")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     """Weights that differ by calendar month."""
     p = daily(spark, d)
@@ -269,11 +269,27 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
     return fa.monthly_weighted_factor(w, p.select("dt", "sym", ret.lookback_return(1).alias("ret"))).select("dt", "sym", r("factor", "factor"))
 
 
-@query("a48_a49_whitening_covariance")
+@query("a48_a49_whitening_covariance", "SELECT CAST(w AS INT) AS width, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov FROM (SELECT unnest([8, 16, 64]) AS w), (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) WHERE i < w AND j < w")
 def a48(spark: SparkSession, d: str) -> DataFrame:
-    ship(spark)
-    z = sim.whiten(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("sym"), F.col("embedding").alias("emb")), 8)
-    return sim.covariance(z).select("i", "j", r("cov", "cov"))
+    """One decomposition, three widths: the covariance of each is the identity."""
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("sym"), F.col("embedding").alias("emb"))
+    z = sim.whiten(e, 64)
+    parts = [sim.covariance(z, w).select(F.lit(w).alias("width"), "i", "j", r("cov", "cov")) for w in (8, 16, 64)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("x14_category_whitening")
+def x14(spark: SparkSession, d: str) -> DataFrame:
+    """Explained variance of each category's widths, with the number of its symbols in each market."""
+    c, s, out = fx.categories(spark, d), fx.symbols(spark, d).select("sym", "region"), None
+    for k in range(4):
+        own = c.where(F.col("category") == k)
+        model = sim.fit_whitening(own, 16)
+        shares = spark.createDataFrame([(k, w, float(model.explained[w - 1])) for w in (2, 4, 8, 16) if w <= len(model.explained)], "category int, width int, explained double")
+        white = sim.whiten(own, model).join(s, "sym").groupBy("region").agg(F.count("*").alias("n")).withColumn("category", F.lit(k))
+        part = shares.join(F.broadcast(white), "category").select("category", "width", r("explained", "explained"), "region", "n")  # a row a market
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("a50_placebo_statistics", f"WITH {fx.FL_SQL}, c AS (SELECT dt, {_CORR.format(x='factor', y='label')} AS ic FROM ok GROUP BY dt), k AS (SELECT month(dt) AS trial, avg(ic) AS v FROM c GROUP BY 1) SELECT {rs('avg(v)', 'mean')}, {rs('stddev_pop(v)', 'sd')}, {rs('(max(v) - avg(v)) / nullif(stddev_pop(v), 0)', 'z_best')} FROM k")
@@ -295,9 +311,7 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     """Factor of every target and source market pair, in one plan."""
     s = fx.symbols(spark, d)
     w = weights(spark, d).where("target <> peer").join(s.select(F.col("sym").alias("target"), F.col("region").alias("target_region")), "target").join(s.select(F.col("sym").alias("peer"), F.col("region").alias("source_region")), "peer")
-    rel = relative(spark, d).where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), "ret")
-    got = w.join(rel, "peer").groupBy("target_region", "source_region", "dt", F.col("target").alias("sym")).agg(F.sum(F.col("w") * F.col("ret")).alias("n"), F.sum("w").alias("w")).where("w > 0")
-    return got.select("target_region", "source_region", "dt", "sym", (F.col("n") / F.col("w")).alias("factor"))
+    return fa.keyed_factor(w, relative(spark, d), ("target_region", "source_region"), 0.0)
 
 
 _CELL_IC = f"ci AS (SELECT target_region, source_region, cf.dt AS dt, {_CORR.format(x='factor', y='label')} AS ic FROM cf JOIN lab ON lab.dt = cf.dt AND lab.sym = cf.sym WHERE label IS NOT NULL GROUP BY 1, 2, 3), cs AS (SELECT target_region, source_region, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(12) AS icir FROM ci GROUP BY 1, 2)"
@@ -320,13 +334,17 @@ def j22(spark: SparkSession, d: str) -> DataFrame:
     return cell_icir(spark, d).withColumn("place", place).where("place <= 2").select("target_region", "source_region", "place")
 
 
-@query("x9_category_ablation", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, cp AS (SELECT category, target, peer, row_number() OVER (PARTITION BY category, target ORDER BY cos, peer) / CAST(count(*) OVER (PARTITION BY category, target) AS DOUBLE) AS pct FROM pairs), cw AS (SELECT category, target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM cp WHERE target <> peer), f AS (SELECT category, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM cw JOIN rel ON rel.sym = cw.peer WHERE ret IS NOT NULL GROUP BY 1, 2, 3), c AS (SELECT category, f.dt AS dt, {_CORR.format(x='factor', y='label')} AS ic FROM f JOIN lab ON lab.dt = f.dt AND lab.sym = f.sym WHERE label IS NOT NULL GROUP BY 1, 2) SELECT category, {rs('avg(ic)', 'mean_ic')} FROM c GROUP BY 1")
+_KSCORE = "k9 AS (SELECT category, f.dt AS dt, round(factor, 9) AS factor, label FROM f JOIN lab ON lab.dt = f.dt AND lab.sym = f.sym WHERE label IS NOT NULL), r9 AS (SELECT category, dt, rank() OVER (PARTITION BY category, dt ORDER BY factor) + (count(*) OVER (PARTITION BY category, dt, factor) - 1) / 2.0 AS x, rank() OVER (PARTITION BY category, dt ORDER BY label) + (count(*) OVER (PARTITION BY category, dt, label) - 1) / 2.0 AS y FROM k9)"
+
+
+@query("x9_category_ablation", f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {PAIRS_SQL}, {REL_SQL}, cp AS (SELECT category, target, peer, row_number() OVER (PARTITION BY category, target ORDER BY cos, peer) / CAST(count(*) OVER (PARTITION BY category, target) AS DOUBLE) AS pct FROM pairs), cw AS (SELECT CAST(category AS VARCHAR) AS category, target, peer, 1.0 / (1.0 + exp(-10.0 * (pct - 0.5))) AS w FROM cp WHERE target <> peer UNION ALL SELECT 'all', target, peer, w FROM w WHERE target <> peer), f AS (SELECT category, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM cw JOIN rel ON rel.sym = cw.peer WHERE ret IS NOT NULL GROUP BY 1, 2, 3 HAVING sum(w) > 0), {_KSCORE}, c AS (SELECT category, dt, {_CORR.format(x='x', y='y')} AS ic FROM r9 GROUP BY 1, 2) SELECT category, {rs('avg(ic)', 'mean_ic')} FROM c GROUP BY 1")
 def x9(spark: SparkSession, d: str) -> DataFrame:
+    """Factor from each category alone and from all of them, by rank coefficients."""
     from factorspark.operators.xsection import ordinal_pct
 
-    w = pairs(spark, d).withColumn("pct", ordinal_pct("cos", ["category", "target"], "peer")).where("target <> peer")
-    w = w.select("category", "target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
-    rel = relative(spark, d).where("ret IS NOT NULL").select("dt", F.col("sym").alias("peer"), "ret")
-    f = w.join(rel, "peer").groupBy("category", "dt", F.col("target").alias("sym")).agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("factor"))
+    w = pairs(spark, d).withColumn("pct", ordinal_pct("cos", ["category", "target"], "peer"))
+    w = w.select(F.col("category").cast("string").alias("category"), "target", "peer", W.sigmoid_weights(F.col("pct"), 10.0, 0.5).alias("w"))
+    w = w.unionByName(weights(spark, d).withColumn("category", F.lit("all"))).where("target <> peer")
+    f = fa.keyed_factor(w, relative(spark, d), ("category",), 0.0).withColumn("factor", F.round("factor", 9))
     lab = fx.panel(spark, d).select("dt", "sym", ret.forward_return().alias("label")).where("label IS NOT NULL")
-    return stats.ic(f.join(lab, ["dt", "sym"]), "factor", "label", ["category", "dt"]).groupBy("category").agg(r(F.avg("ic"), "mean_ic"))
+    return stats.rank_ic(f.join(lab, ["dt", "sym"]), "factor", "label", ["category", "dt"], "ic").groupBy("category").agg(r(F.avg("ic"), "mean_ic"))

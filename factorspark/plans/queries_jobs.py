@@ -15,13 +15,22 @@ from factorspark.operators import stats
 from factorspark.operators import xsection as xs
 from factorspark.plans import jobs
 from factorspark.plans import queries_graph as qg
-from factorspark.plans.queries_cross import _CORR, DAILY_SQL, daily, r, rs
+from factorspark.plans.queries_cross import _CORR, DAILY_SQL, _less, daily, r, rs
 from factorspark.plans.registry import query
 from factorspark.sources import fixtures as fx
 
 _HEAD = f"WITH {fx.PANEL_SQL}, {fx.SYMBOLS_SQL}, {fx.EDGES_SQL}, {qg.PAIRS_SQL}, {qg.STRENGTHS_SQL}, {qg.REL_SQL}"
 _FACTOR = "f AS (SELECT v, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM wv JOIN rel ON rel.sym = wv.peer WHERE ret IS NOT NULL AND w <> 0 GROUP BY 1, 2, 3 HAVING sum(w) > 1)"
-_SCORE = f"sc AS (SELECT v, f.dt AS dt, {_CORR.format(x='factor', y='label')} AS ic FROM f JOIN lab ON lab.dt = f.dt AND lab.sym = f.sym WHERE label IS NOT NULL GROUP BY 1, 2)"
+
+
+def score_sql(by: str = "v") -> str:
+    """Rank coefficients (by, dt, ic) of table f against labels."""
+    rank = "rank() OVER (PARTITION BY {by}, dt ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, dt, {x}) - 1) / 2.0"
+    x, y = rank.format(by=by, x="factor"), rank.format(by=by, x="label")
+    return f"fl9 AS (SELECT {by}, f.dt AS dt, round(factor, 9) AS factor, label FROM f JOIN lab ON lab.dt = f.dt AND lab.sym = f.sym WHERE label IS NOT NULL), rk9 AS (SELECT {by}, dt, {x} AS x, {y} AS y FROM fl9), sc AS (SELECT {by}, dt, {_CORR.format(x='x', y='y')} AS ic FROM rk9 GROUP BY {by}, dt)"
+
+
+_SCORE = score_sql()
 _OUT = f"SELECT v AS variant, {rs('avg(ic)', 'mean_ic')}, {rs('avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(12)', 'icir')} FROM sc GROUP BY 1"
 
 
@@ -52,13 +61,40 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
     return scored(jobs.variant_scores(jobs.variant_factors(all_.where("target <> peer"), qg.relative(spark, d)), labels(spark, d)))
 
 
-@query("x6_raw_and_mild_by_market", f"WITH {fx.FL_SQL}, n AS (SELECT *, count(*) OVER g AS n FROM ok WINDOW g AS (PARTITION BY region, dt)), w AS (SELECT dt, region, sym, label, greatest(least(factor, quantile_cont(factor, 0.99) OVER g), quantile_cont(factor, 0.01) OVER g) AS y, greatest(least(close, quantile_cont(close, 0.99) OVER g), quantile_cont(close, 0.01) OVER g) AS x FROM n WHERE n >= 10 WINDOW g AS (PARTITION BY region, dt)), z AS (SELECT dt, region, label, CASE WHEN stddev_pop(y) OVER g > 1e-12 THEN (y - avg(y) OVER g) / stddev_pop(y) OVER g ELSE 0 END AS y, CASE WHEN stddev_pop(x) OVER g > 1e-12 THEN (x - avg(x) OVER g) / stddev_pop(x) OVER g ELSE 0 END AS x FROM w WINDOW g AS (PARTITION BY region, dt)), q AS (SELECT dt, region, label, y - avg(y) OVER g - CASE WHEN var_pop(x) OVER g > 1e-24 THEN covar_pop(x, y) OVER g / var_pop(x) OVER g ELSE 0 END * (x - avg(x) OVER g) AS res FROM z WINDOW g AS (PARTITION BY region, dt)), a AS (SELECT region, dt, 'mild' AS variant, {_CORR.format(x='res', y='label')} AS ic FROM q GROUP BY 1, 2 UNION ALL SELECT region, dt, 'raw', {_CORR.format(x='factor', y='label')} FROM ok GROUP BY 1, 2) SELECT region, variant, {rs('avg(ic)', 'mean_ic')} FROM a GROUP BY 1, 2")
+_W6 = "greatest(least({c}, quantile_cont({c}, 0.99) OVER g), quantile_cont({c}, 0.01) OVER g) AS {c}"
+_Z6 = "CASE WHEN stddev_pop({c}) OVER g > 1e-12 THEN ({c} - avg({c}) OVER g) / stddev_pop({c}) OVER g ELSE 0 END AS {c}"
+_S6 = ("factor", "close", "own", "weight")
+
+
+def _std6(source: str, name: str, cols: tuple[str, ...], known: str) -> str:
+    g = "WINDOW g AS (PARTITION BY region, dt)"
+    return f"{name}n AS (SELECT *, count(*) OVER g AS n FROM {source} WHERE {known} {g}), {name}w AS (SELECT dt, region, sym, label, {', '.join(_W6.format(c=c) for c in cols)} FROM {name}n WHERE n >= 10 {g}), {name}z AS (SELECT dt, region, sym, label, {', '.join(_Z6.format(c=c) for c in cols)} FROM {name}w {g})"
+
+
+def _clear6(y: str, x: str) -> str:
+    return _less(y, x).replace("OVER d", "OVER g")
+
+
+X6_SQL = (
+    f"WITH {fx.FL_SQL}, o AS (SELECT dt, region, sym, label, factor, close, close / nullif(lag(close, 2) OVER (PARTITION BY sym ORDER BY dt), 0) - 1 AS own, weight FROM ok), {_std6('o', 'm', _S6[:2], 'true')}, {_std6('o', 't', _S6, 'own IS NOT NULL')}, "
+    f"mr AS (SELECT region, dt, label, {_clear6('factor', 'close')} FROM mz WINDOW g AS (PARTITION BY region, dt)), "
+    f"t1 AS (SELECT region, dt, label, {', '.join(_clear6(c, 'close') for c in ('factor', 'own', 'weight'))} FROM tz WINDOW g AS (PARTITION BY region, dt)), "
+    f"t2 AS (SELECT region, dt, label, {', '.join(_clear6(c, 'own') for c in ('factor', 'weight'))} FROM t1 WINDOW g AS (PARTITION BY region, dt)), "
+    f"t3 AS (SELECT region, dt, label, {_clear6('factor', 'weight')} FROM t2 WINDOW g AS (PARTITION BY region, dt)), "
+    "a AS (SELECT 'raw' AS variant, region, dt, label, round(factor, 9) AS factor FROM ok UNION ALL SELECT 'mild', region, dt, label, round(factor, 9) FROM mr UNION ALL SELECT 'three_style', region, dt, label, round(factor, 9) FROM t3), "
+    "k AS (SELECT variant, region, dt, rank() OVER (PARTITION BY variant, region, dt ORDER BY factor) + (count(*) OVER (PARTITION BY variant, region, dt, factor) - 1) / 2.0 AS x, rank() OVER (PARTITION BY variant, region, dt ORDER BY label) + (count(*) OVER (PARTITION BY variant, region, dt, label) - 1) / 2.0 AS y FROM a), "
+    f"c AS (SELECT variant, region, dt, {_CORR.format(x='x', y='y')} AS ic FROM k GROUP BY 1, 2, 3) SELECT region, variant, {rs('avg(ic)', 'mean_ic')} FROM c GROUP BY 1, 2"
+)
+
+
+@query("x6_raw_and_mild_by_market", X6_SQL)
 def x6(spark: SparkSession, d: str) -> DataFrame:
-    """Raw and mildly neutralized factor of each market."""
-    rows = fx.ok(spark, d).withColumn("g", F.concat_ws("/", F.col("region").cast("string"), F.col("dt").cast("string")))
+    """Raw, mildly and three-style neutralized factor of each market, by rank coefficients."""
+    rows = fx.ok(spark, d).withColumn("own", ret.lookback_return(2)).withColumn("g", F.concat_ws("/", F.col("region").cast("string"), F.col("dt").cast("string")))
     mild = nt.mild(rows, "factor", "close", "g").select("region", "dt", "label", F.col("residual").alias("factor"))
-    both = jobs.stacked(raw=rows.select("region", "dt", "label", "factor"), mild=mild)
-    c = stats.ic(both, "factor", "label", ["region", "variant", "dt"])
+    three = nt.styles(rows, "factor", ["close", "own", "weight"], "g").select("g", "sym", F.col("residual").alias("factor")).join(rows.select("g", "sym", "region", "dt", "label"), ["g", "sym"])
+    both = jobs.stacked(raw=rows.select("region", "dt", "label", "factor"), mild=mild, three_style=three.select("region", "dt", "label", "factor"))
+    c = stats.rank_ic(both.withColumn("factor", F.round("factor", 9)), "factor", "label", ["region", "variant", "dt"], "ic")
     return c.groupBy("region", "variant").agg(r(F.avg("ic"), "mean_ic"))
 
 
@@ -73,16 +109,35 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
     return scored(jobs.variant_scores(all_, labels(spark, d)))
 
 
-@query("x11_agentic_variants", f"{_HEAD}, wv AS (SELECT * FROM (SELECT 'baseline' AS v, target, peer, w FROM wa UNION ALL SELECT 'filter', target, peer, w FROM ff UNION ALL SELECT 'strength', target, peer, w * (1 + 0.3 * coalesce(s, 0)) FROM wa UNION ALL SELECT 'confirmed', target, peer, w * CASE WHEN s >= 0.6 THEN 1.3 ELSE 1.0 END FROM wa UNION ALL SELECT 'filter_strength', target, peer, w * (1 + 0.3 * coalesce(s, 0)) FROM ff) WHERE target <> peer AND target % 2 = 0), {_FACTOR}, {_SCORE} {_OUT}")
+_BOOSTS, _LEASTS = (1.0, 2.0, 5.0), (0.3, 0.6)
+_X11 = (
+    " UNION ALL ".join(
+        ["SELECT 'emb_only' AS v, target, peer, w FROM wa", "SELECT 'static_graph', target, peer, w * (1 + 0.2 * a) FROM wa"]
+        + [f"SELECT 'filter_{c}', target, peer, w FROM ff{int(c * 10)}" for c in _LEASTS]
+        + [f"SELECT 'strength_{b}', target, peer, w * (1 + {b} * coalesce(s, 0)) FROM wa" for b in _BOOSTS]
+        + [f"SELECT 'filter_boost_{c}', target, peer, w * (1 + 2.0 * coalesce(s, 0)) FROM ff{int(c * 10)}" for c in _LEASTS]
+    )
+)
+_FF = ", ".join(f"ff{int(c * 10)} AS (SELECT target, peer, s, CASE WHEN sum(CASE WHEN s < {c} THEN 0.0 ELSE w END) OVER (PARTITION BY target) < 1e-9 THEN w WHEN s < {c} THEN 0.0 ELSE w END AS w FROM wa)" for c in _LEASTS)
+
+
+@query("x11_agentic_variants", f"{_HEAD}, {_FF}, wv AS (SELECT * FROM ({_X11}) WHERE target <> peer), {_FACTOR.replace('f AS', 'f0 AS', 1)}, f AS (SELECT v || '/all' AS v, dt, sym, factor FROM f0 UNION ALL SELECT v || '/region', dt, f0.sym, factor FROM f0 JOIN symbols ON symbols.sym = f0.sym WHERE region = 2), {_SCORE} SELECT split_part(v, '/', 1) AS variant, split_part(v, '/', 2) AS universe, {rs('avg(ic)', 'mean_ic')}, {rs('avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(12)', 'icir')} FROM sc GROUP BY v")
 def x11(spark: SparkSession, d: str) -> DataFrame:
-    """Five uses of assessed link strengths on all targets."""
+    """Nine uses of a graph and of assessed link strengths, scored on all targets and on those of one market."""
     w = qg.weights(spark, d)
     s = qg.strengths(w)
-    all_ = jobs.stacked(baseline=w, filter=gr.strength_filter(w, s, 0.5), strength=gr.strength_boost(w, s, 0.3), confirmed=gr.confirmed_boost(w, s, 0.6, 0.3), filter_strength=gr.filter_and_boost(w, s, 0.5, 0.3))
-    return scored(jobs.variant_scores(jobs.variant_factors(all_.where("target <> peer"), qg.relative(spark, d)), labels(spark, d)))
-
-
-_DAILY = f"WITH {DAILY_SQL}, {qg.PAIRS_SQL}, dl AS (SELECT dt, sym, unnest([1, 5]) AS k, unnest([close / nullif(lag(close, 1) OVER s, 0) - 1, close / nullif(lag(close, 5) OVER s, 0) - 1]) AS ret, lead(close) OVER s / nullif(close, 0) - 1 AS label FROM daily WINDOW s AS (PARTITION BY sym ORDER BY dt)), f AS (SELECT k, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM w JOIN dl ON dl.sym = w.peer WHERE ret IS NOT NULL AND target <> peer AND target % 20 = 0 GROUP BY 1, 2, 3 HAVING sum(w) > 1), z AS (SELECT k, dt, sym, (factor - avg(factor) OVER g) / nullif(stddev_samp(factor) OVER g, 0) AS z FROM f WINDOW g AS (PARTITION BY k, dt)), m AS (SELECT dt, sym, avg(z) AS c FROM z WHERE z IS NOT NULL GROUP BY 1, 2), x AS (SELECT dt, sym, c - avg(c) OVER (PARTITION BY dt) AS factor, dense_rank() OVER (ORDER BY dt) - 1 AS i FROM m)"
+    named = {"emb_only": w, "static_graph": gr.boost(w, fx.edges(spark, d), 0.2)}
+    named |= {f"filter_{c}": gr.strength_filter(w, s, c) for c in _LEASTS}
+    named |= {f"strength_{b}": gr.strength_boost(w, s, b) for b in _BOOSTS}
+    named |= {f"filter_boost_{c}": gr.filter_and_boost(w, s, c, 2.0) for c in _LEASTS}
+    f = jobs.variant_factors(jobs.stacked(**named).where("target <> peer"), qg.relative(spark, d))
+    market = fx.symbols(spark, d).where("region = 2").select("sym")
+    both = f.withColumn("universe", F.lit("all")).unionByName(f.join(market, "sym", "left_semi").withColumn("universe", F.lit("region")))
+    got = jobs.variant_scores(both, labels(spark, d), by=("variant", "universe"))
+    return got.select("variant", "universe", r("mean_ic", "mean_ic"), r("icir", "icir"))
+
+
+_DAILY = f"WITH {DAILY_SQL}, {qg.PAIRS_SQL}, dl AS (SELECT dt, sym, unnest([1, 5]) AS k, unnest([close / nullif(lag(close, 1) OVER s, 0) - 1, close / nullif(lag(close, 5) OVER s, 0) - 1]) AS ret, lead(close) OVER s / nullif(close, 0) - 1 AS label FROM daily WINDOW s AS (PARTITION BY sym ORDER BY dt)), f AS (SELECT k, dt, target AS sym, sum(w * ret) / sum(w) AS factor FROM w JOIN dl ON dl.sym = w.peer WHERE ret IS NOT NULL AND target <> peer GROUP BY 1, 2, 3 HAVING sum(w) > 1), z AS (SELECT k, dt, sym, (factor - avg(factor) OVER g) / nullif(stddev_samp(factor) OVER g, 0) AS z FROM f WINDOW g AS (PARTITION BY k, dt)), m AS (SELECT dt, sym, avg(z) AS c FROM z WHERE z IS NOT NULL GROUP BY 1, 2), x AS (SELECT dt, sym, c - avg(c) OVER (PARTITION BY dt) AS factor, dense_rank() OVER (ORDER BY dt) - 1 AS i FROM m)"
 
 
 @query("x12_daily_pooled_composite", _DAILY + f" SELECT dt, sym, {rs('factor', 'factor')} FROM x WHERE i % 20 = 0")

@@ -31,7 +31,7 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 SYMBOLS_SQL = """symbols AS (
-  SELECT s_suppkey AS sym, s_nationkey % 5 AS sector, n_regionkey AS region, s_acctbal AS weight
+  SELECT s_suppkey AS sym, s_suppkey % 7 AS sector, n_regionkey AS region, s_acctbal AS weight
   FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
 
 
@@ -39,7 +39,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     """Symbol dictionary (sym, sector, region, weight)."""
     nation = table(spark, d, "nation")
     s = table(spark, d, "supplier").join(F.broadcast(nation), F.col("n_nationkey") == F.col("s_nationkey"))  # 25 nations
-    return s.select(F.col("s_suppkey").alias("sym"), (F.col("s_nationkey") % 5).alias("sector"), F.col("n_regionkey").alias("region"), F.col("s_acctbal").alias("weight"))
+    return s.select(F.col("s_suppkey").alias("sym"), (F.col("s_suppkey") % 7).alias("sector"), F.col("n_regionkey").alias("region"), F.col("s_acctbal").alias("weight"))
 
 
 FL_SQL = (
