@@ -93,3 +93,33 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "json")
     fx.table(spark, d, "documents").select("doc_id", "lang", "n_chars").write.json(path)
     return spark.read.schema("doc_id long, lang string, n_chars long").json(path)
+
+
+@query("s15_twse_codes", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.TW' AS symbol, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_id, s_name AS company FROM supplier WHERE s_suppkey % 2 = 0")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    """A symbol dictionary with two regions, of which one has codes."""
+    path = scratch(spark, "symbols")
+    code = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".TW"))
+    region = F.when(F.col("s_suppkey") % 2 == 0, "tw_twse").otherwise("jp_tse")
+    fx.table(spark, d, "supplier").select(code.alias("SYMBOL"), region.alias("region"), F.col("s_name").alias("company")).write.option("header", True).csv(path)
+    return ps.twse_codes(spark, path)
+
+
+@query("s16_dart_codes", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.KS' AS symbol, 'C' || s_suppkey AS corp_code, s_name AS corp_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    """An XML list of companies, a third of them without a stock code."""
+    path = scratch(spark, "companies")
+    code = F.when(F.col("s_suppkey") % 3 == 0, F.lit(" ")).otherwise(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"))
+    rows = fx.table(spark, d, "supplier").select(F.concat(F.lit("C"), "s_suppkey").alias("corp_code"), F.col("s_name").alias("corp_name"), code.alias("stock_code"))
+    rows.write.format("xml").option("rowTag", "list").option("rootTag", "result").save(path)
+    return ps.dart_codes(spark, path)
+
+
+@query("s17_hkex_codes", "SELECT regexp_replace(lpad(CAST(s_suppkey AS VARCHAR), 5, '0'), '^0', '') || '.HK' AS symbol, CAST(s_nationkey AS VARCHAR) AS stock_id FROM supplier WHERE s_suppkey % 4 <> 0")
+def s17(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON list of listed products, of which those with five digits are stocks."""
+    path = scratch(spark, "products")
+    code = F.lpad(F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 4 == 0, F.lit(6)).otherwise(F.lit(5)), F.lit("0"))
+    rows = fx.table(spark, d, "supplier").select(F.struct(code.alias("c"), F.col("s_nationkey").cast("string").alias("i")).alias("x"))
+    rows.agg(F.to_json(F.collect_list("x")).alias("value")).write.text(path)  # one list, as the exchange has it
+    return ps.hkex_codes(spark, path)
