@@ -74,13 +74,14 @@ def peer_factor(weights: DataFrame, returns: DataFrame, gate: float = 1.0, ret:
 def keyed_factor(weights: DataFrame, returns: DataFrame, keys: tuple[str, ...], gate: float = 1.0) -> DataFrame:
     """(keys, dt, sym, factor): ``peer_factor`` of weights (keys, target, peer, w), each key a set of weights of its own.
 
-    Key and target together are the rows of the matrices, so all keys share one block product.
+    Key and target together are the rows of the matrices, so all keys share one block product. Keys are
+    not null and their texts hold no \\x01.
     """
     kinds = {k: weights.schema[k].dataType for k in (*keys, "target")}
-    row = F.to_json(F.struct(*keys, "target"))
-    got = peer_factor(weights.select(row.alias("target"), "peer", "w"), returns, gate)
-    back = F.from_json("sym", ", ".join(f"{k} {t.simpleString()}" for k, t in kinds.items())).alias("r")
-    return got.select("dt", "factor", back).select(*[F.col("r")[k].alias(k) for k in keys], "dt", F.col("r.target").alias("sym"), "factor")
+    row = F.concat_ws("\x01", *[F.col(k).cast("string") for k in kinds])  # short text: it goes through Arrow once an edge and block
+    got = peer_factor(weights.select(row.alias("target"), "peer", "w"), returns, gate).withColumn("r", F.split("sym", "\x01"))
+    part = {k: F.col("r")[n].cast(t) for n, (k, t) in enumerate(kinds.items())}
+    return got.select(*[part[k].alias(k) for k in keys], "dt", part["target"].alias("sym"), "factor")
 
 
 def monthly_weighted_factor(weights: DataFrame, daily: DataFrame, gate: float = 1.0, ret: str = "ret", blocks: int | None = None) -> DataFrame:
