@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factorspark.functions.shipping import scratch, ship
+from factorspark.operators.rows import Reader, arrow_uri
+
+FUZZY_PAIRS = 8_000_000
+
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Each left row with the value of the right row latest at or before it, per key.
@@ -63,36 +70,91 @@ def prefix_match(tickers: DataFrame, symbols: DataFrame, ticker: str, symbol: st
 
 
 def fuzzy_match(names: DataFrame, targets: DataFrame, name: str, target: str, cutoff: float = 0.8) -> DataFrame:
-    """Best target per name: equal in lower case, else of the highest sequence ratio at or over cutoff.
+    """Best target per name: equal in lower case, else of the highest sequence ratio at or over cutoff, the last of equals.
 
-    Names that match exactly never reach Python. For the rest, candidates share their length class: a
-    ratio of c needs lengths within c / (2 - c) of each other, so the join is by class and its
-    neighbours, not all pairs.
+    Names that match exactly never reach Python. The rest are dealt to tasks that stream the stored targets
+    past them in blocks. Shared letters, then the longest common subsequence, bound the ratio from above;
+    both are taken for a block at once, and only targets whose bound reaches the best so far are compared.
     """
     n, t = names.select(name).distinct(), targets.select(target).distinct()
     n = n.withColumn("__a", F.lower(F.trim(name)))
     t = t.withColumn("__b", F.lower(F.trim(target)))
     exact = n.join(t, F.col("__a") == F.col("__b")).groupBy(name).agg(F.min(target).alias(target)).withColumn("ratio", F.lit(1.0))
-    base = (2 - cutoff) / cutoff
-    cls = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / F.log(F.lit(base)))
-    rest = n.join(exact, name, "left_anti").withColumn("__k", F.explode(F.array(cls("__a") - 1, cls("__a"), cls("__a") + 1)))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            m = difflib.SequenceMatcher(None, y, x)
-            m.set_seq2(x)
-            m.set_seq1(y)
-            return m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    near = rest.join(t.withColumn("__k", cls("__b")), "__k").withColumn("ratio", ratio("__a", "__b")).where(F.col("ratio") >= cutoff)
-    best = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("ratio"), F.desc(target)))
-    near = near.withColumn("__n", best).where("__n = 1").select(name, target, "ratio")
+    spark = names.sparkSession
+    ship(spark)
+    path = scratch(spark, "names")
+    t.where("__b IS NOT NULL").select(target, "__b").write.parquet(path)
+    rest = n.where("__a IS NOT NULL").join(exact, name, "left_anti")
+    tasks = max(8, -(-rest.count() * spark.read.parquet(path).count() // FUZZY_PAIRS))
+    uri = arrow_uri(path)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = Reader(uri, [target, "__b"])
+        for batch in batches:
+            best: list = [(cutoff, None)] * batch.num_rows
+            texts = batch.column(1).to_pylist()
+            for part in stored:
+                block = _Texts(part.column(1).to_pylist(), part.column(0).to_pylist())
+                best = [block.best(x, was) for x, was in zip(texts, best, strict=True)]
+            found = [k for k, (_, at) in enumerate(best) if at is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found, pa.int64())), pa.array([best[k][1] for k in found], pa.string()), pa.array([best[k][0] for k in found], pa.float64())], [name, target, "ratio"])
+
+    near = rest.repartition(tasks, name).mapInArrow(search, f"`{name}` string, `{target}` string, ratio double")
     return exact.unionByName(near)
 
 
+class _Texts:
+    """A block of targets with what bounds their sequence ratios to a text."""
+
+    def __init__(self, texts: list[str], names: list[str]) -> None:
+        self.texts, self.names = texts, names
+        self.sizes = np.array([len(x) for x in texts])
+        codes = np.array(texts, dtype=f"<U{max(int(self.sizes.max(initial=0)), 1)}")
+        codes = codes.view(np.uint32).reshape(len(texts), -1)
+        chars, inverse = np.unique(codes, return_inverse=True)
+        self.place = {chr(c): k for k, c in enumerate(chars.tolist())}
+        self.codes = inverse.reshape(codes.shape)
+        self.counts: dict[str, np.ndarray] = {}
+
+    def count(self, c: str) -> np.ndarray:
+        if c not in self.counts:
+            self.counts[c] = (self.codes == self.place[c]).sum(1)
+        return self.counts[c]
+
+    def common(self, x: str, at: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of a text of at most 64 characters and each target, bits of the text in parallel."""
+        masks = np.zeros(len(self.place), np.uint64)
+        for k, c in enumerate(x):
+            if c in self.place:
+                masks[self.place[c]] |= np.uint64(1 << k)
+        v = np.full(len(at), 2**64 - 1, np.uint64)
+        for k in range(int(self.sizes[at].max(initial=0))):
+            u = v & masks[self.codes[at, k]]
+            v = (v + u) | (v - u)
+        return np.bitwise_count(~v & np.uint64(2 ** len(x) - 1)).astype(int)
+
+    def best(self, x: str, was: tuple[float, str | None]) -> tuple[float, str | None]:
+        """The better of ``was``, a ratio and a name, and this block's best at or over that ratio."""
+        shared = np.zeros(len(self.texts), int)
+        for c, n in Counter(x).items():
+            if c in self.place:
+                shared += np.minimum(self.count(c), n)
+        total = np.maximum(self.sizes + len(x), 1)
+        bound = 2.0 * shared / total
+        m = difflib.SequenceMatcher(None, "", x)
+        for b in np.unique(bound[bound >= was[0]])[::-1]:
+            if b < was[0]:
+                break
+            at = np.nonzero(bound == b)[0]
+            closer = 2.0 * self.common(x, at) / total[at] if len(x) <= 64 else np.full(len(at), b)
+            for k in np.argsort(-closer, kind="stable"):
+                if closer[k] < was[0]:
+                    break
+                m.set_seq1(self.texts[at[k]])
+                was = max(was, (m.ratio(), self.names[at[k]]), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        return was
+
+
 def skip_existing(todo: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``todo`` whose key is not in ``done``."""
     return todo.join(done, list(on), "left_anti")

@@ -132,3 +132,25 @@ def test_random_graph_is_that_of_the_operator(spark):
 
     want = gr.random_graph(qg.weights(spark, D), fx.edges(spark, D), 1).collect()
     assert want and sorted(e.queries()["r4_random_graph"](spark, D).collect()) == sorted(want)
+
+
+def test_fuzzy_match_compares_few_pairs_and_finds_the_best(spark, monkeypatch):
+    import difflib
+
+    from factorspark.operators import joins
+
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("abc01") for _ in range(rng.randint(0, 14))) for _ in range(300)} | {f"Supplier#{k:05d}" for k in range(200)} | {"x" * 90 + "y", "z" * 70})
+    names = [f"Supplier#{k:04d}O" for k in range(20)] + ["x" * 91, "ab0c1a", "zz", "caba01b0", "é漢字"]
+    got = {r.name: (r.target, r.ratio) for r in joins.fuzzy_match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in texts], "target string"), "name", "target", 0.7).collect()}
+    for n in names:
+        all_ = [(difflib.SequenceMatcher(None, t.lower(), n.lower()).ratio(), t) for t in texts]
+        equal = [t for t in texts if t.lower() == n.lower()]
+        best = (1.0, min(equal)) if equal else max(all_)
+        assert got.get(n) == ((best[1], best[0]) if best[0] >= 0.7 else None), n
+    many = [f"supplier#{k:09d}" for k in range(5000)]
+    best = max((difflib.SequenceMatcher(None, t, "supplier#0000012o4").ratio(), t) for t in many)
+    tried = []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: tried.append(1) or ratio(m))
+    assert joins._Texts(many, many).best("supplier#0000012o4", (0.8, None)) == best and len(tried) < 100
