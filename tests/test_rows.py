@@ -154,3 +154,34 @@ def test_fuzzy_match_compares_few_pairs_and_finds_the_best(spark, monkeypatch):
     ratio = difflib.SequenceMatcher.ratio
     monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: tried.append(1) or ratio(m))
     assert joins._Texts(many, many).best("supplier#0000012o4", (0.8, None)) == best and len(tried) < 100
+
+
+def test_ranks_of_ties_and_rounds_are_those_of_spark(spark):
+    from factorspark.operators import rows as rw
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    for v in (rng.normal(size=5000), rng.integers(0, 9, 5000) / 4.0, np.zeros(300), np.array([]), np.array([1.0, np.nan, 1.0, -0.0, 0.0])):
+        assert rw.order(v).tolist() == np.argsort(v, kind="stable").tolist()
+    x = np.concatenate([rng.normal(size=3000), np.arange(-400, 400) / 128.0, rng.integers(-(10**7), 10**7, 3000) / 1e6 + 5e-7, [0.0, -0.0, -1e-9, 1e-300, 2.5e-6, 3.5e-6, 123456789.1234565, -1e17, 0.1234565, 1.0000005]])
+    want = [r.y for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, x double").orderBy("k").select((F.round("x", 6) + F.lit(0.0)).alias("y")).collect()]
+    got = rw.rounded(x, 6).tolist()
+    assert [repr(v) for v in got] == [repr(v) for v in want]
+    assert np.isnan(rw.rounded(np.array([np.nan]), 6)).all()
+
+
+def test_returns_are_made_once(spark, tmp_path):
+    import uuid
+
+    from factorspark.operators import rows as rw
+
+    def made(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    days = [dt.date(2001, 3, 9), dt.date(2001, 3, 1), dt.date(2004, 1, 1)]
+    r = spark.createDataFrame([(d, s, float(s)) for d in days for s in range(9)] + [(dt.date(2002, 1, 1), 1, None)], "dt date, sym long, ret double")
+    t = rw.store(vectors(spark), {"r": r.repartition(3).mapInArrow(made, r.schema)})
+    assert t.dates == sorted(days) and len(list(tmp_path.iterdir())) == 3
+    at = rw.Calendar(t.dates, t.dt).place(rw.pa.array(days))
+    assert at.tolist() == [1, 0, 2] and rw.Calendar([3, 5, 9], rw.T.LongType()).place(rw.pa.array([9, 3])).tolist() == [2, 0]
