@@ -185,3 +185,33 @@ def test_returns_are_made_once(spark, tmp_path):
     assert t.dates == sorted(days) and len(list(tmp_path.iterdir())) == 3
     at = rw.Calendar(t.dates, t.dt).place(rw.pa.array(days))
     assert at.tolist() == [1, 0, 2] and rw.Calendar([3, 5, 9], rw.T.LongType()).place(rw.pa.array([9, 3])).tolist() == [2, 0]
+
+
+def test_expanding_correlations_agree_with_the_walk_tile_by_tile(spark):
+    from factorspark.operators import rows as rw
+    from factorspark.operators.similarity import expanding_correlation_edges
+
+    rng = random.Random(9)
+    days = [dt.date(2001, m, 1) for m in range(1, 13)]
+    rows = [(d, s, 0.1 if s == 3 else rng.gauss(0, 1)) for k, d in enumerate(days) for s in range(23) if rng.random() < 0.6 and not (s == 5 and k < 9)]
+    r = spark.createDataFrame([*rows, (days[0], 99, None)], "dt date, sym long, ret double").cache()
+    stops = [(days[max(k - 1, 0)], d) for k, d in enumerate(days)]
+    t = rw.store(None, {"r": r})
+    got = {(x.month, x.target, x.peer): (x.n, x.corr) for x in rw.expanding(t.rows, t, stops, rw.T.DateType(), 3, tile=(4, 5)).collect()}
+    want = {(x.month, x.target, x.peer): (x.n, x.corr) for x in expanding_correlation_edges(r, spark.createDataFrame(stops, "upto date, month date"), 3, 2).collect()}
+    assert want and got.keys() == want.keys()
+    for k, (n, c) in want.items():
+        assert got[k] == (n, None if c is None else pytest.approx(c, abs=1e-12)), k
+
+
+@small
+@pytest.mark.parametrize("name", ["a19_j21_monthly_correlation_weights"])
+def test_no_pair_is_exchanged_or_stored(spark, name, monkeypatch):
+    import __spark_entry__ as e
+    from factorspark.sources import panel_store as ps
+
+    kept, save = [], ps.save_edges
+    monkeypatch.setattr(ps, "save_edges", lambda df, *a: kept.append(df) or save(df, *a))
+    plan = e.queries()[name](spark, D)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Window"))
+    assert not any("peer" in df.columns for df in kept)
