@@ -205,7 +205,7 @@ def test_expanding_correlations_agree_with_the_walk_tile_by_tile(spark):
 
 
 @small
-@pytest.mark.parametrize("name", ["a19_j21_monthly_correlation_weights"])
+@pytest.mark.parametrize("name", ["a19_j21_monthly_correlation_weights", "k2_s9_correlation_cache", "k2_s8_similarity_cache"])
 def test_no_pair_is_exchanged_or_stored(spark, name, monkeypatch):
     import __spark_entry__ as e
     from factorspark.sources import panel_store as ps
