@@ -215,3 +215,64 @@ def test_no_pair_is_exchanged_or_stored(spark, name, monkeypatch):
     plan = e.queries()[name](spark, D)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "CoGroup" not in plan and not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Window"))
     assert not any("peer" in df.columns for df in kept)
+
+
+def test_pairs_come_whole_in_strips_that_make_short_files(spark, tmp_path, monkeypatch):
+    from factorspark.operators import rows as rw
+
+    v = spark.createDataFrame([(s, 0, [1.0, float(s % 7)]) for s in range(3000)], "sym long, category int, emb array<float>")
+    t = rw.store(v)
+    one = lambda x: (np.ones((len(x.targets), len(x.peers))), x.similarity()[1])
+    got = rw.edges(t.rows.where("sym % 10 = 0"), t, one)
+    got.write.parquet(str(tmp_path / "w"))
+    assert got.count() == got.distinct().count() == 300 * 3000
+    assert sum(f.stat().st_size for f in (tmp_path / "w").glob("*.parquet")) < 900_000
+    monkeypatch.setattr(rw, "WIDE", 7)
+    monkeypatch.setattr(rw, "BATCH", 20)
+    few = rw.edges(t.rows.where("sym < 9"), t, lambda x: x.similarity(), ("sim",))
+    assert sorted((x.target, x.peer) for x in few.collect()) == [(a, b) for a in range(9) for b in range(3000)]
+
+
+def test_targets_of_factors_leave_their_returns_behind(spark, monkeypatch):
+    from factorspark.operators import rows as rw
+
+    r = spark.createDataFrame([(dt.date(2001, 1, k), s, float(s)) for k in (1, 2) for s in range(9)], "dt date, sym long, ret double")
+    t = rw.store(vectors(spark), {"r": r, "m": r, "label": r})
+    sent, deal = [], rw.each
+    monkeypatch.setattr(rw, "each", lambda targets, *x: sent.append(targets.columns) or deal(targets, *x))
+    for x, gone in (({}, {"r"}), ({"more": ("m",)}, {"r"}), ({"more": ("r",)}, set()), ({"label": "r"}, set()), ({"series": ("r", "m"), "label": "label"}, {"r", "m"})):
+        assert rw.factors(t.rows, t, lambda x: iter([("w", x.similarity()[1] * 1.0)]), **x).count()
+        assert {"r_ret", "m_ret", "label_ret", "r_at", "m_at", "label_at"} - set(sent[-1]) == {f"{g}_{y}" for g in gone for y in ("at", "ret")}
+
+
+@small
+@pytest.mark.parametrize("name", ["a13_daily_factor", "j20_month_keyed_weights"])
+def test_daily_returns_are_dealt_by_symbol_once(spark, name, monkeypatch):
+    import __spark_entry__ as e
+    from factorspark.operators import rows as rw
+
+    kept, save = [], rw.store
+    monkeypatch.setattr(rw, "store", lambda v, returns=None, how="left", **c: kept.append(returns["r"]) or save(v, returns, how, **c))
+    e.queries()[name](spark, D)
+    assert kept[0].groupBy("sym").agg({"ret": "max"})._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_stored_rows_go_with_the_session(tmp_path):
+    import subprocess
+    import sys
+    import time
+
+    code = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://%s").getOrCreate()
+from factorspark.operators import rows as rw
+t = rw.store(s.createDataFrame([(1, 0, [1.0])], "sym long, category int, emb array<float>"))
+print("stored", t.rows.count())
+s.stop()
+""" % tmp_path
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "stored 1" in done.stdout, done.stderr[-2000:]
+    end = time.time() + 20
+    while list(tmp_path.rglob("*.parquet")) and time.time() < end:
+        time.sleep(0.2)
+    assert not list(tmp_path.rglob("*.parquet"))
