@@ -276,3 +276,61 @@ s.stop()
     while list(tmp_path.rglob("*.parquet")) and time.time() < end:
         time.sleep(0.2)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+@small
+@pytest.mark.parametrize("name", ["a11_peer_momentum", "a14_similarity_pooling", "x7_market_matrix"])
+def test_monthly_returns_read_lines_once_and_stay_with_their_symbol(spark, name, monkeypatch):
+    import __spark_entry__ as e
+    from factorspark.operators import rows as rw
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def watched(self, path, *a, **b):
+        if "/rows-" in path:
+            df = self._df.select("sym", *[c for c in self._df.columns if c.endswith("_ret")])
+            df.collect()  # under the settings of the write
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    monkeypatch.setattr(rw, "factors", lambda *a, **b: spark.createDataFrame([], "variant string, series string, grp int, dt date, sym long, factor double, label double, region int"))
+    e.queries()[name](spark, D)
+    made = [x.strip(" :+-|") for x in plans[0].split("Initial Plan")[0].splitlines()]
+    assert sum("FileScan" in x and "l_shipdate" in x for x in made) == 1, plans[0]
+    assert sum(x.startswith("Exchange hashpartitioning(dt") for x in made) == 1, plans[0]
+
+
+def test_sector_means_that_are_sent_are_those_of_the_window(spark):
+    from factorspark.operators import returns as ret
+
+    rng = random.Random(4)
+    days = [None, dt.date(2001, 1, 1), dt.date(2001, 2, 1)]
+    rows = [(d, s, rng.choice([None, "", "a", "b", "c"]), None if rng.random() < 0.2 else float(s)) for d in days for s in range(60)]
+    x = spark.createDataFrame([*rows, (days[1], 99, "alone", None)], "dt date, sym long, sector string, x double")
+    want = {(r.dt, r.sym): r.y for r in x.withColumn("y", ret.sector_relative("x")).collect()}
+    got = ret.less_sector_mean(x, "x", "y")
+    assert got.columns == [*x.columns, "y"] and got.count() == len(want)
+    assert all(r.y == (None if want[r.dt, r.sym] is None else pytest.approx(want[r.dt, r.sym], abs=1e-12)) for r in got.collect())
+
+
+def test_shuffles_of_a_stored_table_go_when_it_is_stored(spark):
+    import time
+    from pathlib import Path
+
+    from factorspark.functions.shipping import STORING
+    from factorspark.operators import rows as rw
+    from pyspark.sql import functions as F
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    kept = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, conf = kept(), {k: spark.conf.get(k, None) for k in STORING}
+    r = spark.range(100_000).select(F.date_add(F.lit(dt.date(2001, 1, 1)), (F.col("id") % 100).cast("int")).alias("dt"), (F.col("id") % 997).alias("sym"), F.rand(1).alias("ret"))
+    t = rw.store(vectors(spark), {"r": r}, "full")
+    assert t.count == 997 and {k: spark.conf.get(k, None) for k in STORING} == conf
+    big = lambda: sum(f.stat().st_size for f in kept() - before if f.exists())
+    end = time.time() + 20
+    while big() > 100_000 and time.time() < end:
+        time.sleep(0.2)
+    assert big() < 100_000  # the returns alone took over a megabyte
