@@ -315,6 +315,48 @@ def test_sector_means_that_are_sent_are_those_of_the_window(spark):
     assert all(r.y == (None if want[r.dt, r.sym] is None else pytest.approx(want[r.dt, r.sym], abs=1e-12)) for r in got.collect())
 
 
+def test_neighbours_in_the_task_give_the_residuals_of_the_join(spark):
+    from factorspark.operators import neutralize as nt
+    from factorspark.operators import rows as rw
+
+    rng = random.Random(7)
+    days, lone = list(range(14)), 13
+    rows = [(d, s, rng.gauss(0, 1)) for d in days for s in range(75) if rng.random() < 0.5]  # symbols over 60 have no vectors
+    r = spark.createDataFrame([*rows, (5, 3, None)], "dt int, sym long, ret double").cache()
+    t = rw.store(vectors(spark), {"r": r}, "full")
+
+    def five(x):
+        s, met = x.similarity()
+        place, chosen = rw.top(s, rw.without_self(x, met), 5)
+        return np.where(s < 0, 0.0, s), chosen  # targets 0 to 9 have also neighbours of weight 0
+
+    near = rw.edges(t.rows.where("v IS NOT NULL"), t, five, ("sim",))
+    for cells in (100, 8_000_000):
+        got = rw.demeaned(t.rows.where("r_at IS NOT NULL"), t, five, lone=lone, cells=cells).collect()
+        want = {(x.dt, x.sym): x.residual for x in nt.neighbour_demean(r.where(f"ret IS NOT NULL AND dt <> {lone}"), near, "ret").collect()}
+        want |= {(d, s): v for d, s, v in rows if d == lone}
+        assert len(got) == len(want) and {(x.dt, x.sym) for x in got} == want.keys()
+        assert all(x.residual == pytest.approx(want[x.dt, x.sym], abs=1e-9) for x in got)
+
+
+@small
+def test_neighbour_demean_exchanges_no_row_a_neighbour_and_date(spark):
+    import __spark_entry__ as e
+
+    plan = e.queries()["j16_w40_neighbour_demean"](spark, D)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert not any(x in above for x in ("Join", "Aggregate", "Sort", "Exchange")), above
+
+
+def test_blocks_without_any_vector_are_rows_of_zeros(spark):
+    from factorspark.operators import rows as rw
+
+    r = spark.createDataFrame([(dt.date(2001, 1, 1), s, 1.0) for s in range(90)], "dt date, sym long, ret double")
+    t = rw.store(vectors(spark, 20), {"r": r}, "full")
+    got = rw.edges(t.rows, t, lambda x: x.similarity(), ("sim",), cells=90).collect()
+    assert t.count == 90 and got and max(x.target for x in got) < 20
+
+
 def test_shuffles_of_a_stored_table_go_when_it_is_stored(spark):
     import time
     from pathlib import Path
